@@ -229,3 +229,256 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
             for name, kind in df.dtypes
         ]
     )
+
+
+def member_rows(spark: SparkSession, folder: str, min_lines: int = MIN_MEMBER_LINES) -> DataFrame:
+    """Supplier x category x year rows with their nation; thin rows are suppressed."""
+    supplier = table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("place"))
+    cells = (
+        shipped_lines(spark, folder)
+        .groupBy("l_suppkey", "ind", year_of("l_shipdate"))
+        .agg(
+            F.count(F.lit(1)).alias("lines"),
+            F.sum("l_quantity").alias("quantity"),
+            F.round(F.sum("l_extendedprice"), 2).alias("pay"),
+        )
+    )
+    kept = F.col("lines") >= min_lines
+    return cells.join(supplier, cells.l_suppkey == supplier.s_suppkey).select(
+        F.col("place").alias("geo"),
+        "ind",
+        "yr",
+        F.col("s_suppkey").alias("member"),
+        (~kept).alias("is_suppressed"),
+        F.when(kept, F.col("lines").cast("double")).alias("establishments"),
+        F.when(kept, F.col("quantity")).alias("employment"),
+        F.when(kept, F.col("pay")).alias("payroll"),
+    )
+
+
+MEMBER_MEASURES = ["establishments", "employment", "payroll"]
+
+
+def expected_members(spark: SparkSession, folder: str) -> DataFrame:
+    return (
+        table(spark, folder, "supplier")
+        .groupBy(F.col("s_nationkey").alias("geo"))
+        .agg(F.count(F.lit(1)).alias("expected"))
+    )
+
+
+def support_stage(spark: SparkSession, folder: str) -> DataFrame:
+    """Every staged group with its coverage, complete or not."""
+    from cellwise.operators.rollup import coverage_rollup
+
+    return coverage_rollup(
+        member_rows(spark, folder), expected_members(spark, folder), KEY, "geo", "member",
+        MEMBER_MEASURES, "is_suppressed",
+    )
+
+
+SUPPORT_SQL = f"""
+member_cells AS (
+  SELECT l_suppkey, c_mktsegment AS ind, CAST(year(l_shipdate) AS INT) AS yr,
+         count(*) AS lines, sum(l_quantity) AS quantity, round(sum(l_extendedprice), 2) AS pay
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  GROUP BY 1, 2, 3
+),
+member_rows AS (
+  SELECT s_nationkey AS geo, ind, yr, s_suppkey AS member, lines < {MIN_MEMBER_LINES} AS is_suppressed,
+         CASE WHEN lines >= {MIN_MEMBER_LINES} THEN lines::DOUBLE END AS establishments,
+         CASE WHEN lines >= {MIN_MEMBER_LINES} THEN quantity END AS employment,
+         CASE WHEN lines >= {MIN_MEMBER_LINES} THEN pay END AS payroll
+  FROM member_cells JOIN supplier ON l_suppkey = s_suppkey
+),
+expected AS (SELECT s_nationkey AS geo, count(*) AS members_expected FROM supplier GROUP BY 1),
+support_groups AS (
+  SELECT m.geo, m.ind, m.yr, e.members_expected,
+         count(DISTINCT member) AS members_observed,
+         CAST(count(*) FILTER (WHERE is_suppressed) AS BIGINT) AS members_suppressed,
+         CAST(count(*) FILTER (WHERE establishments IS NULL OR employment IS NULL OR payroll IS NULL) AS BIGINT) AS members_missing,
+         count(*) AS source_rows,
+         sum(establishments) AS s1, sum(employment) AS s2, sum(payroll) AS s3
+  FROM member_rows m JOIN expected e ON e.geo = m.geo
+  GROUP BY 1, 2, 3, 4
+),
+support_stage AS (
+  SELECT geo, ind, yr, members_expected, members_observed, members_suppressed, members_missing,
+         source_rows,
+         (members_observed = members_expected AND members_suppressed = 0 AND members_missing = 0) AS is_complete,
+         CASE WHEN members_observed = members_expected AND members_suppressed = 0 AND members_missing = 0 THEN s1 END AS establishments,
+         CASE WHEN members_observed = members_expected AND members_suppressed = 0 AND members_missing = 0 THEN s2 END AS employment,
+         CASE WHEN members_observed = members_expected AND members_suppressed = 0 AND members_missing = 0 THEN s3 END AS payroll
+  FROM support_groups
+)"""
+
+
+def control_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Wide (estimate, margin) pairs per place and year; thin shares are missing."""
+    orders = orders_by_cell(spark, folder)
+    status = {s: F.count_if(F.col("o_orderstatus") == s) for s in ("F", "O", "P")}
+    cells = orders.groupBy("geo", year_of("o_orderdate")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("o_custkey").cast("double").alias("population_est"),
+        (F.round(F.sum("o_totalprice"), 2) / F.count(F.lit(1))).alias("income_est"),
+        *[c.alias(f"n_{s}") for s, c in status.items()],
+    )
+
+    def share(s: str):
+        seen = F.col(f"n_{s}")
+        return F.when(seen >= MIN_CONTROL_ORDERS, F.round(100 * seen / F.col("n"), 6))
+
+    wide = cells.withColumns(
+        {"finished_pct_est": share("F"), "open_pct_est": share("O"), "pending_pct_est": share("P")}
+    )
+    return wide.select(
+        "geo",
+        "yr",
+        *[f"{c}_est" for c in CONTROLS],
+        *[F.round(F.col(f"{c}_est") / F.sqrt("n"), 6).alias(f"{c}_moe") for c in CONTROLS],
+    )
+
+
+def control_long(spark: SparkSession, folder: str) -> DataFrame:
+    from cellwise.sources.files import pairs_to_long
+
+    return pairs_to_long(
+        control_cells(spark, folder), ["geo", "yr"], {c: (f"{c}_est", f"{c}_moe") for c in CONTROLS}
+    )
+
+
+def control_layer(spark: SparkSession, folder: str) -> DataFrame:
+    from cellwise.operators.rollup import pivot_controls
+
+    return pivot_controls(
+        control_long(spark, folder), ["geo", "yr"], "control_name", CONTROLS, {"estimate": "", "margin": "moe"}
+    )
+
+
+def control_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """Controls with population growth and one-year lags, window by place only."""
+    layer = control_layer(spark, folder).select("geo", "yr", *CONTROLS)
+    grown = cal.add(layer, ["geo"], "yr", cal.growths({"population": "population_growth"}))
+    return cal.add(grown, ["geo"], "yr", cal.lags([*CONTROLS[1:], "population_growth"], (1,)))
+
+
+def _pct_sql(s: str) -> str:
+    return f"CASE WHEN n_{s} >= {MIN_CONTROL_ORDERS} THEN round(100 * n_{s}::DOUBLE / n, 6) END"
+
+
+CONTROL_SQL = f"""
+control_counts AS (
+  SELECT c_nationkey AS geo, CAST(year(o_orderdate) AS INT) AS yr, count(*) AS n,
+         count(DISTINCT o_custkey)::DOUBLE AS population, round(sum(o_totalprice), 2) / count(*) AS income,
+         count(*) FILTER (WHERE o_orderstatus = 'F') AS n_F,
+         count(*) FILTER (WHERE o_orderstatus = 'O') AS n_O,
+         count(*) FILTER (WHERE o_orderstatus = 'P') AS n_P
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2
+),
+control_est AS (
+  SELECT geo, yr, n, population, income, {_pct_sql("F")} AS finished_pct,
+         {_pct_sql("O")} AS open_pct, {_pct_sql("P")} AS pending_pct
+  FROM control_counts
+),
+control_layer AS (
+  SELECT geo, yr, {", ".join(CONTROLS)},
+         {", ".join(f"round({c} / sqrt(n), 6) AS {c}_moe" for c in CONTROLS)}
+  FROM control_est
+)"""
+
+CONTROL_PANEL_SQL = (
+    CONTROL_SQL
+    + f""",
+control_growth AS (
+  SELECT a.geo, a.yr, {", ".join("a." + c for c in CONTROLS)},
+         CASE WHEN p.population > 0 THEN (a.population - p.population) / p.population END AS population_growth
+  FROM control_layer a LEFT JOIN control_layer p ON p.geo = a.geo AND p.yr = a.yr - 1
+),
+control_panel AS (
+  SELECT a.*, {", ".join(f"p.{c} AS {c}_lag1" for c in [*CONTROLS[1:], "population_growth"])}
+  FROM control_growth a LEFT JOIN control_growth p ON p.geo = a.geo AND p.yr = a.yr - 1
+)"""
+)
+
+
+def geo_dim(spark: SparkSession, folder: str) -> DataFrame:
+    """Nations with their region and type: one region plays the non-metropolitan type."""
+    nation = table(spark, folder, "nation")
+    return nation.select(
+        F.col("n_nationkey").alias("geo"),
+        F.col("n_name").alias("geo_name"),
+        F.when(F.col("n_regionkey") == 4, "MICROPOLITAN").otherwise("MSA").alias("geo_type"),
+    )
+
+
+GEO_SQL = """
+geo_dim AS (
+  SELECT n_nationkey AS geo, n_name AS geo_name,
+         CASE WHEN n_regionkey = 4 THEN 'MICROPOLITAN' ELSE 'MSA' END AS geo_type
+  FROM nation
+)"""
+
+PANEL_MEASURES = [
+    "starts", "start_rate", "start_rate_lag1", "start_rate_lag2", "start_rate_lag3",
+    "employment", "establishments", "payroll", "average_pay",
+    *GROWTHS.values(),
+    *[f"{c}_lag{n}" for c, steps in GROWTH_LAGS.items() for n in steps],
+    *CONTROLS, "population_growth",
+    *[f"{c}_lag1" for c in [*CONTROLS[1:], "population_growth"]],
+    "support_establishments", "support_employment", "support_payroll",
+]
+PANEL_FLAGS = [
+    "starts_suppressed", "rate_available", "activity_suppressed", "controls_matched",
+    "controls_incomplete", "support_matched", "support_suppressed", "any_suppression",
+]
+
+
+def analytic_panel(spark: SparkSession, folder: str) -> DataFrame:
+    from cellwise.operators.panel import integrate
+
+    return integrate(
+        core=start_panel(spark, folder).drop("backbone"),
+        growth=activity_panel(spark, folder),
+        places=geo_dim(spark, folder),
+        place_type="MSA",
+        controls=control_panel(spark, folder),
+        control_fields=CONTROLS,
+        support=support_stage(spark, folder),
+        support_measures=MEMBER_MEASURES,
+        years=(1995, 2001),
+    )
+
+
+PANEL_SQL = (
+    START_PANEL_SQL + "," + ACTIVITY_PANEL_SQL + "," + CONTROL_PANEL_SQL + "," + SUPPORT_SQL + "," + GEO_SQL
+    + f""",
+panel AS (
+  SELECT b.geo, b.ind, b.yr, g.geo_name,
+         b.starts, b.start_rate, b.start_rate_lag1, b.start_rate_lag2, b.start_rate_lag3,
+         q.employment, q.establishments, q.payroll, q.average_pay,
+         {", ".join("q." + c for c in GROWTHS.values())},
+         {", ".join(f"q.{c}_lag{n}" for c, steps in GROWTH_LAGS.items() for n in steps)},
+         {", ".join("a." + c for c in CONTROLS)}, a.population_growth,
+         {", ".join(f"a.{c}_lag1" for c in [*CONTROLS[1:], "population_growth"])},
+         CASE WHEN s.is_complete THEN s.establishments END AS support_establishments,
+         CASE WHEN s.is_complete THEN s.employment END AS support_employment,
+         CASE WHEN s.is_complete THEN s.payroll END AS support_payroll,
+         b.is_suppressed AS starts_suppressed, b.start_rate IS NOT NULL AS rate_available,
+         q.is_suppressed AS activity_suppressed,
+         a.geo IS NOT NULL AS controls_matched,
+         (a.geo IS NULL OR {" OR ".join(f"a.{c} IS NULL" for c in CONTROLS)}) AS controls_incomplete,
+         coalesce(s.is_complete, FALSE) AS support_matched,
+         coalesce(s.members_suppressed > 0, FALSE) AS support_suppressed,
+         s.is_complete AS support_complete
+  FROM start_panel b
+  JOIN activity_panel q ON q.geo = b.geo AND q.ind = b.ind AND q.yr = b.yr
+  JOIN geo_dim g ON g.geo = b.geo
+  LEFT JOIN control_panel a ON a.geo = b.geo AND a.yr = b.yr
+  LEFT JOIN support_stage s ON s.geo = b.geo AND s.ind = b.ind AND s.yr = b.yr
+  WHERE g.geo_type = 'MSA' AND b.yr BETWEEN 1995 AND 2001
+),
+analytic_panel AS (
+  SELECT *, (starts_suppressed OR activity_suppressed OR support_suppressed) AS any_suppression
+  FROM panel
+)"""
+)
