@@ -6,6 +6,7 @@ MODULES = (
     "growth",
     "etl",
     "integration",
+    "profiling",
 )
 
 

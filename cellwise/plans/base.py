@@ -326,7 +326,7 @@ def control_cells(spark: SparkSession, folder: str) -> DataFrame:
 
     def share(s: str):
         seen = F.col(f"n_{s}")
-        return F.when(seen >= MIN_CONTROL_ORDERS, F.round(100 * seen / F.col("n"), 6))
+        return F.when(seen >= MIN_CONTROL_ORDERS, 100 * seen / F.col("n"))
 
     wide = cells.withColumns(
         {"finished_pct_est": share("F"), "open_pct_est": share("O"), "pending_pct_est": share("P")}
@@ -363,7 +363,7 @@ def control_panel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pct_sql(s: str) -> str:
-    return f"CASE WHEN n_{s} >= {MIN_CONTROL_ORDERS} THEN round(100 * n_{s}::DOUBLE / n, 6) END"
+    return f"CASE WHEN n_{s} >= {MIN_CONTROL_ORDERS} THEN 100 * n_{s}::DOUBLE / n END"
 
 
 CONTROL_SQL = f"""
@@ -482,3 +482,19 @@ analytic_panel AS (
   FROM panel
 )"""
 )
+
+
+_STORED_PANELS: dict[tuple[str, str], str] = {}
+
+
+def panel_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The integrated panel as a Parquet table partitioned by year, written once per application."""
+    from cellwise.session import scratch_path
+    from cellwise.sources.sinks import write_table
+
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED_PANELS:
+        path = scratch_path(spark, "panel")
+        write_table(analytic_panel(spark, folder), path, ["yr"])
+        _STORED_PANELS[key] = path
+    return spark.read.parquet(_STORED_PANELS[key])

@@ -726,7 +726,7 @@ def rollup_lineage(spark, folder):
 @query(
     "control_pivot",
     B.with_sql(B.CONTROL_SQL)
-    + """SELECT * REPLACE (round(income, 6) AS income), CAST(5 AS BIGINT) AS source_rows, CAST(5 AS BIGINT) AS controls_present FROM control_layer""",
+    + f"""SELECT * REPLACE ({", ".join(f"round({c}, 6) AS {c}" for c in B.CONTROLS)}), CAST(5 AS BIGINT) AS source_rows, CAST(5 AS BIGINT) AS controls_present FROM control_layer""",
 )
 def control_pivot(spark, folder):
     return B.rounded(B.control_layer(spark, folder))
