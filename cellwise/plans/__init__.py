@@ -7,6 +7,7 @@ MODULES = (
     "etl",
     "integration",
     "profiling",
+    "labels",
 )
 
 
