@@ -8,6 +8,7 @@ MODULES = (
     "integration",
     "profiling",
     "labels",
+    "scoring",
 )
 
 
