@@ -9,6 +9,7 @@ MODULES = (
     "profiling",
     "labels",
     "scoring",
+    "modeling",
 )
 
 
