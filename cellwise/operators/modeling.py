@@ -74,16 +74,12 @@ class Spec:
         return Spec(numeric, self.categorical, self.year, self.interact, f"{self.name}_{'_'.join(new)}")
 
 
-def _encoders(categorical: Sequence[str], unseen: str) -> list:
-    """Drop-first dummies in label order; an unseen level becomes all zeros or an error."""
+def _encoders(categorical: Sequence[str]) -> list:
+    """Drop-first dummies in label order; an unseen level is an error."""
     stages = []
     for c in categorical:
-        stages.append(
-            StringIndexer(inputCol=c, outputCol=f"{c}_index", stringOrderType="alphabetDesc", handleInvalid=unseen)
-        )
-        stages.append(
-            OneHotEncoder(inputCol=f"{c}_index", outputCol=f"{c}_dummy", dropLast=True, handleInvalid="keep" if unseen == "keep" else "error")
-        )
+        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_index", stringOrderType="alphabetDesc"))
+        stages.append(OneHotEncoder(inputCol=f"{c}_index", outputCol=f"{c}_dummy", dropLast=True))
     return stages
 
 
@@ -114,7 +110,7 @@ def fit_expected(
     refuse_after(clean, year, cutoff)
     clean = _as_text(clean, spec, cutoff)
     categorical = [*spec.categorical, *(["_year_effect"] if spec.year else [])]
-    stages = _encoders(categorical, "error")
+    stages = _encoders(categorical)
     inputs = [*spec.numeric, *[f"{c}_dummy" for c in categorical]]
     if spec.interact:
         number, group = spec.interact
@@ -167,13 +163,24 @@ class Classifier:
     spec: Spec
     label: str
     centers: dict[str, tuple[float, float]]
+    levels: dict[str, list[str]]
     pipeline: PipelineModel
     model: str
 
-    def scale(self, df: DataFrame) -> DataFrame:
-        return df.withColumns(
-            {f"{c}_scaled": (F.col(c) - mean) / spread for c, (mean, spread) in self.centers.items()}
-        )
+    @property
+    def terms(self) -> list[str]:
+        return [*self.centers, *[f"{c}={level}" for c, levels in self.levels.items() for level in levels[1:]]]
+
+    def design(self, df: DataFrame) -> DataFrame:
+        """One column per term: scaled numbers, then dummies of all but the first level.
+
+        A level not seen in training has zeros everywhere.
+        """
+        numbers = [(F.col(c) - mean) / spread for c, (mean, spread) in self.centers.items()]
+        dummies = [
+            (F.col(c) == level).cast("double") for c, levels in self.levels.items() for level in levels[1:]
+        ]
+        return df.withColumns({f"_x{i}": x for i, x in enumerate([*numbers, *dummies])})
 
 
 def training_scale(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -206,19 +213,19 @@ def fit_classifier(
     if classes[0] != 0 or classes[1] != 1:
         raise ValueError("Training rows must hold both classes")
     numeric = [*spec.numeric, *([spec.year] if spec.year else [])]
-    fitted = Classifier(spec, label, training_scale(clean, numeric), None, model)
-    stages = _encoders(spec.categorical, "keep")
-    inputs = [*[f"{c}_scaled" for c in numeric], *[f"{c}_dummy" for c in spec.categorical]]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    stages.append(_estimator(model, params or {}, label, seed))
-    fitted.pipeline = Pipeline(stages=stages).fit(fitted.scale(clean))
+    levels = {
+        c: [r[0] for r in clean.select(c).distinct().orderBy(c).collect()] for c in spec.categorical
+    }
+    fitted = Classifier(spec, label, training_scale(clean, numeric) if numeric else {}, levels, None, model)
+    assembler = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(fitted.terms))], outputCol="features")
+    fitted.pipeline = Pipeline(stages=[assembler, _estimator(model, params or {}, label, seed)]).fit(fitted.design(clean))
     return fitted
 
 
 def predict_probability(fitted: Classifier, df: DataFrame, name: str = "probability") -> DataFrame:
     """Positive-class probability of rows with complete features."""
     clean = complete_cases(df, list(fitted.spec.fields))
-    scored = fitted.pipeline.transform(fitted.scale(clean))
+    scored = fitted.pipeline.transform(fitted.design(clean))
     share = vector_to_array(F.col("probability"))[1]
     return scored.withColumn("_p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))).select(
         *df.columns, F.col("_p").alias(name)
@@ -228,10 +235,7 @@ def predict_probability(fitted: Classifier, df: DataFrame, name: str = "probabil
 def logistic_coefficients(fitted: Classifier, spark) -> DataFrame:
     """Coefficients and odds ratios per scaled feature and dummy."""
     last = fitted.pipeline.stages[-1]
-    numeric = [*fitted.spec.numeric, *([fitted.spec.year] if fitted.spec.year else [])]
-    values = [float(v) for v in last.coefficients]
-    terms = [*numeric, *[f"dummy_{i}" for i in range(len(values) - len(numeric))]]
-    rows = [("const", float(last.intercept)), *zip(terms, values)]
+    rows = [("const", float(last.intercept)), *zip(fitted.terms, [float(v) for v in last.coefficients])]
     return spark.createDataFrame(rows, "term string, coefficient double").withColumn(
         "odds_ratio", F.exp(F.col("coefficient"))
     )

@@ -10,6 +10,7 @@ MODULES = (
     "labels",
     "scoring",
     "modeling",
+    "marts",
 )
 
 
