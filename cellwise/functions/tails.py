@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_tail(x: float, a: float, b: float) -> float:
@@ -43,11 +44,11 @@ def student_two_sided(t: float, dof: float) -> float:
     return _beta_tail(dof / (dof + t * t), dof / 2, 0.5)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([student_two_sided(a, b) for a, b in zip(t.astype(float), dof.astype(float))])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return pd.Series([math.erfc(abs(v) / math.sqrt(2)) if np.isfinite(v) else np.nan for v in z.astype(float)])

@@ -30,8 +30,9 @@ def draw_weights(seed: int, first: int, last: int, clusters: int) -> np.ndarray:
     return np.asarray(rows, dtype=np.int64).reshape(last - first, clusters)
 
 
-def _blocks(rows: int, replications: int):
-    step = max(1, BLOCK_CELLS // max(rows, 1))
+def _blocks(rows: int, clusters: int, replications: int):
+    """Replicate ranges whose matrices stay near ``BLOCK_CELLS`` entries."""
+    step = max(1, BLOCK_CELLS // max(rows, clusters, 1))
     for first in range(0, replications, step):
         yield first, min(first + step, replications)
 
@@ -41,7 +42,7 @@ def _slice_totals(seed: int, replications: int, clusters: int):
         by_cluster = pdf.groupby("cluster_no")[["n", "pos"]].sum()
         index = by_cluster.index.to_numpy() - 1
         parts = []
-        for first, last in _blocks(len(by_cluster), replications):
+        for first, last in _blocks(len(by_cluster), clusters, replications):
             drawn = draw_weights(seed, first, last, clusters)[:, index]
             parts.append(
                 pd.DataFrame(
@@ -69,7 +70,7 @@ def _slice_precision(seed: int, replications: int, clusters: int):
         n, pos = cells["n"].to_numpy(), cells["pos"].to_numpy()
         before_n, before_pos = starts["start_n"].to_numpy(), starts["start_pos"].to_numpy()
         parts = []
-        for first, last in _blocks(len(cells), replications):
+        for first, last in _blocks(len(cells), clusters, replications):
             drawn = draw_weights(seed, first, last, clusters)[:, index]
             seen = np.add.reduceat(drawn * n, edges, axis=1)
             hits = np.add.reduceat(drawn * pos, edges, axis=1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwise.functions import measures as M
@@ -41,9 +41,9 @@ def concentration(rows: DataFrame, group: str, flagged: str, label: str) -> Data
         F.count_if(hit).alias("flagged_n"),
         F.count_if(hit & (F.col(label) == 1)).alias("flagged_gap_n"),
     )
-    whole = Window.partitionBy()
-    share_flagged = F.col("flagged_n") / F.sum("flagged_n").over(whole)
-    share_rows = F.col("rows_n") / F.sum("rows_n").over(whole)
+    whole = counts.select(F.struct(F.sum("flagged_n").alias("flagged"), F.sum("rows_n").alias("rows")).alias("t")).scalar()
+    share_flagged = F.col("flagged_n") / whole["flagged"]
+    share_rows = F.col("rows_n") / whole["rows"]
     return counts.select(
         group, "rows_n", "flagged_n", "flagged_gap_n",
         share_flagged.alias("share_of_flagged"),
@@ -128,11 +128,11 @@ def exclusion_rate(classified: DataFrame, group: str) -> DataFrame:
     counts = classified.groupBy(group).agg(
         F.count(F.lit(1)).alias("candidates_n"), F.count_if(~F.col("eligible")).alias("excluded_n")
     )
-    whole = Window.partitionBy()
+    whole = counts.select(F.sum("excluded_n").alias("t")).scalar()
     return counts.select(
         group, "candidates_n", "excluded_n",
         (F.col("excluded_n") / F.col("candidates_n")).alias("exclusion_rate"),
-        M.divide(F.col("excluded_n"), F.sum("excluded_n").over(whole)).alias("share_of_excluded"),
+        M.divide(F.col("excluded_n"), whole).alias("share_of_excluded"),
     )
 
 

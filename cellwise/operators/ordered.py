@@ -24,6 +24,11 @@ def order_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     return freeze(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
+def is_one_slice(sliced: DataFrame) -> bool:
+    """Whether adaptive coalescing left a single slice, i.e. at most one advisory partition of rows."""
+    return sliced.rdd.getNumPartitions() == 1
+
+
 def running_totals(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], measures: Sequence[str]
 ) -> DataFrame:
@@ -33,6 +38,28 @@ def running_totals(
     """
     keys = list(keys)
     sliced = order_slices(df, keys, order)
+    return _totals_in_one_slice(sliced, keys, order, measures) if is_one_slice(sliced) else _totals_over_slices(
+        sliced, keys, order, measures
+    )
+
+
+def _totals_in_one_slice(
+    sliced: DataFrame, keys: Sequence[str], order: Sequence[Column], measures: Sequence[str]
+) -> DataFrame:
+    """Plain windows: the whole input is one partition of bounded size."""
+    running = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*keys)
+    return sliced.select(
+        *[c for c in sliced.columns if c != SLICE],
+        *[F.sum(m).over(running).alias(f"cum_{m}") for m in measures],
+        *[F.sum(m).over(whole).alias(f"total_{m}") for m in measures],
+    )
+
+
+def _totals_over_slices(
+    sliced: DataFrame, keys: Sequence[str], order: Sequence[Column], measures: Sequence[str]
+) -> DataFrame:
+    """Local totals per slice, shifted by the totals of all earlier slices of the key."""
     sums = sliced.groupBy(*keys, SLICE).agg(*[F.sum(m).alias(f"_sum_{m}") for m in measures])
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -51,7 +78,7 @@ def running_totals(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return sliced.join(starts, matches).select(
-        *df.columns,
+        *[c for c in sliced.columns if c != SLICE],
         *[(F.sum(m).over(local) + F.col(f"_start_{m}")).alias(f"cum_{m}") for m in measures],
         *[F.col(f"total_{m}") for m in measures],
     )
@@ -86,9 +113,20 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "r
 def quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float]
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per key, one column per name."""
-    run = running_totals(value_cells(df, keys, value), keys, [F.col(value).asc()], ["n"])
-    return quantiles_of(run, keys, value, probabilities)
+    """Exact linearly interpolated quantiles per key, one column per name.
+
+    Where all distinct values fit one slice, the built-in exact percentile reads them
+    with their counts; otherwise positions come from the running counts.
+    """
+    keys = list(keys)
+    order = [F.col(value).asc()]
+    sliced = order_slices(value_cells(df, keys, value), keys, order)
+    if is_one_slice(sliced):
+        found = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probabilities.values()]), F.col("n"))
+        return sliced.groupBy(*keys).agg(found.alias("_q")).select(
+            *keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probabilities)]
+        )
+    return quantiles_of(_totals_over_slices(sliced, keys, order, ["n"]), keys, value, probabilities)
 
 
 def quantiles_of(

@@ -137,7 +137,7 @@ def key_set_operations(spark, folder):
            count(*) FILTER (WHERE n <> (SELECT k FROM y)) AS unbalanced_panels, round_even(sum(n)::DOUBLE / count(*), 4) AS rows_per_panel FROM p""",
 )
 def panel_shape(spark, folder):
-    rows = B.analytic_panel(spark, folder).filter("NOT any_suppression")
+    rows = B.panel_table(spark, folder).filter("NOT any_suppression")
     return panel.shape(rows, B.PANEL, "yr")
 
 
@@ -159,7 +159,7 @@ _PRESENT_SQL = """count(*) FILTER (WHERE start_rate IS NOT NULL) AS with_rate, c
     PANEL + f"SELECT yr, count(*) AS row_count, count(DISTINCT geo) AS geo_count, count(DISTINCT ind) AS ind_count, {_PRESENT_SQL} FROM analytic_panel GROUP BY 1",
 )
 def coverage_by_year(spark, folder):
-    return panel.coverage(B.analytic_panel(spark, folder), ["yr"], ["geo", "ind"], _present())
+    return panel.coverage(B.panel_table(spark, folder), ["yr"], ["geo", "ind"], _present())
 
 
 @query(
@@ -167,7 +167,7 @@ def coverage_by_year(spark, folder):
     PANEL + f"SELECT ind, count(*) AS row_count, count(DISTINCT geo) AS geo_count, count(DISTINCT yr) AS yr_count, {_PRESENT_SQL} FROM analytic_panel GROUP BY 1",
 )
 def coverage_by_category(spark, folder):
-    return panel.coverage(B.analytic_panel(spark, folder), ["ind"], ["geo", "yr"], _present())
+    return panel.coverage(B.panel_table(spark, folder), ["ind"], ["geo", "yr"], _present())
 
 
 @query(
@@ -177,7 +177,7 @@ def coverage_by_category(spark, folder):
          FROM analytic_panel WHERE NOT any_suppression GROUP BY 1, 2 ORDER BY row_count, geo LIMIT 10""",
 )
 def lowest_coverage_places(spark, folder):
-    rows = B.analytic_panel(spark, folder).filter("NOT any_suppression")
+    rows = B.panel_table(spark, folder).filter("NOT any_suppression")
     return panel.lowest_coverage(panel.coverage(rows, ["geo", "geo_name"], ["ind", "yr"], {}), "geo")
 
 
@@ -196,12 +196,12 @@ def _missing_sql(by: str) -> str:
 
 @query("missing_by_column", PANEL + _missing_sql(""))
 def missing_by_column(spark, folder):
-    return B.rounded(panel.missing_by_column(B.analytic_panel(spark, folder), _MISSING))
+    return B.rounded(panel.missing_by_column(B.panel_table(spark, folder), _MISSING))
 
 
 @query("missing_by_year", PANEL + _missing_sql("yr"))
 def missing_by_year(spark, folder):
-    return B.rounded(panel.missing_by_column(B.analytic_panel(spark, folder), _MISSING, ["yr"]))
+    return B.rounded(panel.missing_by_column(B.panel_table(spark, folder), _MISSING, ["yr"]))
 
 
 @query(
@@ -209,7 +209,7 @@ def missing_by_year(spark, folder):
     PANEL + " UNION ALL ".join(f"SELECT '{f}' AS flag, count(*) FILTER (WHERE {f}) AS row_count FROM analytic_panel" for f in B.PANEL_FLAGS),
 )
 def flag_totals(spark, folder):
-    return panel.flag_totals(B.analytic_panel(spark, folder), B.PANEL_FLAGS)
+    return panel.flag_totals(B.panel_table(spark, folder), B.PANEL_FLAGS)
 
 
 @query(
@@ -242,7 +242,7 @@ _AGREE_CORR = "CASE WHEN count(*) >= 2 AND min(a) < max(a) AND min(b) < max(b) T
 def cross_source_agreement(spark, folder):
     return B.rounded(
         agreement(
-            B.analytic_panel(spark, folder), {"year": "yr", "category": "ind", "place": "geo"},
+            B.panel_table(spark, folder), {"year": "yr", "category": "ind", "place": "geo"},
             "employment", "support_employment", 1.5,
         )
     )
@@ -256,7 +256,7 @@ def cross_source_agreement(spark, folder):
        SELECT geo, over_100pct, matched FROM d WHERE over_100pct > 0 ORDER BY over_100pct DESC, geo LIMIT 10""",
 )
 def top_disagreement_places(spark, folder):
-    summary = agreement(B.analytic_panel(spark, folder), {"place": "geo"}, "employment", "support_employment", 1.5)
+    summary = agreement(B.panel_table(spark, folder), {"place": "geo"}, "employment", "support_employment", 1.5)
     ranked = summary.filter("dimension = 'place' AND over_100pct > 0").select(
         F.col("dimension_value").alias("geo"), "over_100pct", "matched"
     )
@@ -309,7 +309,7 @@ def distinct_name_pairs(spark, folder):
     B.with_sql(B.PANEL_SQL) + "SELECT DISTINCT geo, yr, round(population, 6) AS population, round(income, 6) AS income, round(open_pct, 6) AS open_pct FROM analytic_panel",
 )
 def collapsed_controls(spark, folder):
-    return B.rounded(collapse(B.analytic_panel(spark, folder), ["geo", "yr"], ["population", "income", "open_pct"]))
+    return B.rounded(collapse(B.panel_table(spark, folder), ["geo", "yr"], ["population", "income", "open_pct"]))
 
 
 @query(

@@ -203,7 +203,7 @@ def plausibility_counts(spark, folder):
 
 
 CAUSES = {
-    "start_rate_lag1": {"lag": 1, "flags": [(F.lit(True), "source_data_quality_missing")]},
+    "start_rate_lag1": {"lag": 1, "flags": [("always", "source_data_quality_missing")]},
     "employment_growth": {"growth": True, "flags": [("activity_suppressed", "source_data_quality_missing")]},
     "employment_growth_lag1": {"lag": 1, "growth": True, "flags": [("activity_suppressed", "source_data_quality_missing")]},
     "employment_growth_lag2": {"lag": 2, "growth": True, "flags": [("activity_suppressed", "source_data_quality_missing")]},
@@ -232,7 +232,7 @@ def _causes_sql():
         elif rule.get("growth"):
             tests.append("WHEN a.yr = 1995 THEN 'expected_structural_missing'")
         for flag, cause in rule.get("flags", []):
-            test = flag if isinstance(flag, str) else "TRUE"
+            test = "TRUE" if flag == "always" else flag
             tests.append(f"WHEN {test} THEN '{cause}'")
         tests.append("ELSE 'unexplained_missing'")
         parts.append(f"SELECT '{name}' AS variable, CASE {' '.join(tests)} END AS cause_category FROM rows_ a WHERE {name} IS NULL")
@@ -247,7 +247,7 @@ def _causes_sql():
 def structural_missingness(spark, folder):
     rows = B.panel_table(spark, folder).filter("NOT starts_suppressed").withColumn("support_unmatched", ~F.col("support_matched"))
     rules = {
-        name: {**rule, "flags": [(F.col(t) if isinstance(t, str) else F.lit(True), c) for t, c in rule.get("flags", [])]}
+        name: {**rule, "flags": [(F.lit(True) if t == "always" else F.col(t), c) for t, c in rule.get("flags", [])]}
         for name, rule in CAUSES.items()
     }
     return profile.structural_missingness(rows, B.PANEL, "geo", "yr", rules, 1995)
