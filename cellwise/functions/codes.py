@@ -67,6 +67,12 @@ def title_note(title: Column) -> Column:
     return F.when(title.endswith("T"), F.lit("Title carried a marker."))
 
 
+def code_notes(change: Column, note: Column) -> Column:
+    """Change indicator and title note in one text, NULL if neither is present."""
+    changed = F.when(F.coalesce(F.trim(change), F.lit("")) != "", F.concat(F.lit("Change indicator: "), F.trim(change), F.lit(".")))
+    return F.when(changed.isNotNull() | note.isNotNull(), F.concat_ws(" ", changed, note))
+
+
 def vintage_of(source: Column, year: Column, first_year: int = STUDY_YEARS[0], last_year: int = STUDY_YEARS[1]) -> Column:
     """Classification vintage; an unknown source or a year outside the window is an error."""
     chain = None

@@ -7,6 +7,26 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Rejection reason codes.
+REASONS = (
+    "invalid_cbsa",
+    "invalid_naics",
+    "invalid_year",
+    "duplicate_key",
+    "missing_required_field",
+    "invalid_numeric_value",
+    "suppressed_value",
+    "failed_reference_match",
+    "unresolved_geography",
+    "unresolved_industry",
+    "excluded_ownership",
+    "duplicate_standardized_key",
+    "incomplete_aggregation",
+    "missing_required_measure",
+    "missing_required_startup_measure",
+    "other",
+)
+
 # Published status codes and estimate sentinels.
 STATUS_CODES = ("D", "N", "S", "X")
 SUPPRESSION_CODES = ("D", "S")
@@ -138,9 +158,14 @@ def residual_direction(residual: Column) -> Column:
     return F.when(residual >= 0, "at_or_above_expected").when(residual < 0, "below_expected")
 
 
-def residual_reading(residual: Column) -> Column:
+def residual_reading(residual: Column, label: Column) -> Column:
+    """Reading of a residual together with the label, where one exists."""
+    known = label.isNotNull()
     return (
         F.when(residual.isNull(), "No expected-rate comparison is available for this row.")
-        .when(residual < 0, "The observed rate is below the expected rate.")
-        .otherwise("The observed rate is at or above the expected rate.")
+        .when(label == 1, "The observed rate is far enough below the expected rate to count as a gap.")
+        .when((residual < 0) & known, "The observed rate is below the expected rate, but not a gap.")
+        .when(residual < 0, "The observed rate is below the expected rate; no label is available.")
+        .when(known, "The observed rate is at or above the expected rate; no gap.")
+        .otherwise("The observed rate is at or above the expected rate; no label is available.")
     )

@@ -24,6 +24,9 @@ def rejects(
     rows: DataFrame, stage: str, identity: Sequence[str], reasons: Sequence[tuple[Column, str]]
 ) -> DataFrame:
     """Rows with a reason, their identity and the whole row as JSON."""
+    unknown = sorted({name for _, name in reasons} - set(M.REASONS))
+    if unknown:
+        raise ValueError(f"Unknown rejection reasons: {unknown}")
     payload = F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)]))
     return (
         rows.withColumn("reason", M.first_reason(reasons))
@@ -32,6 +35,16 @@ def rejects(
     )
 
 
+def rollup_reasons() -> list[tuple[Column, str]]:
+    """Why a staged group is not accepted; missing measures are told from missing members."""
+    incomplete = ~F.col("is_complete")
+    return [
+        (incomplete & (F.col("members_suppressed") > 0), "suppressed_value"),
+        (incomplete & (F.col("members_missing") > 0), "missing_required_measure"),
+        (incomplete, "incomplete_aggregation"),
+    ]
+
+
 def reject_summary(rejected: DataFrame, by: Sequence[str] = ("stage", "reason")) -> DataFrame:
     return rejected.groupBy(*by).agg(F.count(F.lit(1)).alias("rejected_rows"))
 
@@ -113,12 +126,29 @@ def readiness_grid(sources: Mapping[str, DataFrame], year: str, first: int, last
     )
 
 
-def vintage_audit(rows: DataFrame, source: str, year: str, stored: str, expected: Column, status: str) -> DataFrame:
-    """Rows per source and year by status, and stored against expected vintage."""
-    return rows.groupBy(source, year).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.count_if(F.col(status) == "directly_comparable").alias("direct_rows"),
-        F.count_if(F.col(status) == "official_mapping_required").alias("mapped_rows"),
-        F.count_if(F.col(status) == "unresolved").alias("unresolved_rows"),
-        F.count_if(~F.col(stored).eqNullSafe(expected)).alias("vintage_mismatches"),
+def vintage_audit(
+    rows: DataFrame, source: str, year: str, code: str, target: str, stored: str, expected: Column, status: str
+) -> DataFrame:
+    """Rows per source and year by status, stored against expected vintage, and code lists.
+
+    Rows collapse to one per code first; the lists are bounded by the classification.
+    """
+    per_code = rows.groupBy(source, year, code, target, status).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(~F.col(stored).eqNullSafe(expected)).alias("_off")
+    )
+
+    def with_status(name: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col(status) == name, F.col("_n"))), F.lit(0).cast("bigint"))
+
+    def listed(values: Column) -> Column:
+        return F.array_join(F.array_sort(F.collect_set(values)), ",")
+
+    return per_code.groupBy(source, year).agg(
+        F.sum("_n").alias("row_count"),
+        with_status("directly_comparable").alias("direct_rows"),
+        with_status("official_mapping_required").alias("mapped_rows"),
+        with_status("unresolved").alias("unresolved_rows"),
+        F.sum("_off").alias("vintage_mismatches"),
+        listed(F.col(target)).alias("retained_codes"),
+        listed(F.when(F.col(target).isNull(), F.col(code))).alias("excluded_codes"),
     )

@@ -100,12 +100,13 @@ def classification(codes: DataFrame, code: str, title: str) -> DataFrame:
     code that contains the two-digit prefix. Ranges are expanded to their members,
     so both look-ups are equi-joins.
     """
-    valid = codes.filter(C.is_valid_code(F.col(code))).select(
-        F.col(code).alias("code"),
-        C.code_level(F.col(code)).alias("level"),
-        C.clean_title(F.col(title)).alias("title"),
-        C.title_note(F.col(title)).alias("note"),
-    ).dropDuplicates(["code"])
+    listed = codes.filter(C.is_valid_code(F.col(code))).groupBy(F.col(code).alias("code")).agg(F.min(title).alias("_title"))
+    valid = listed.select(
+        "code",
+        C.code_level(F.col("code")).alias("level"),
+        C.clean_title(F.col("_title")).alias("title"),
+        C.title_note(F.col("_title")).alias("note"),
+    )
     known = valid.select(F.col("code").alias("parent"))
     prefixes = valid.filter("level > 2").select(
         "code", F.explode(F.sequence(F.lit(2), F.col("level") - 1)).alias("n")

@@ -35,6 +35,19 @@ def apply_filters(
     return df
 
 
+def filter_predictions(
+    df: DataFrame, split_column: str, split: str, splits: Sequence[str], year: int | None = None, **filters
+) -> DataFrame:
+    """Rows of one known split; a predictor year the split does not hold is an error."""
+    if split not in splits:
+        raise ValueError(f"Unknown split {split}")
+    rows = df.filter(F.col(split_column) == split)
+    column = {"year": "yr", **(filters.get("names") or {})}["year"]
+    if year is not None and rows.filter(F.col(column) == year).isEmpty():
+        raise ValueError(f"Year {year} is unavailable for {split}")
+    return apply_filters(rows, year=year, **filters)
+
+
 def with_predictions_only(panel: DataFrame, predictions: DataFrame, on: Sequence[str]) -> DataFrame:
     return panel.join(predictions.select(*on), list(on), "left_semi")
 

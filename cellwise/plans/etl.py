@@ -446,13 +446,14 @@ def sector_rollup_and_vintage(spark, folder):
        longest AS (SELECT v.code, arg_max(p.code, length(p.code)) AS parent FROM valid v JOIN valid p
                    ON length(p.code) >= 2 AND length(p.code) < length(v.code) AND NOT contains(p.code, '-') AND NOT contains(v.code, '-')
                    AND starts_with(v.code, p.code) GROUP BY 1)
-       SELECT v.code, CAST(v.level AS INT) AS level, coalesce(l.parent, r.code) AS parent
-       FROM valid v LEFT JOIN longest l ON l.code = v.code
+       SELECT v.code, CAST(v.level AS INT) AS level, coalesce(l.parent, r.code) AS parent, trim(regexp_replace(t.title, 'T$', '')) AS title,
+         CASE WHEN ends_with(t.title, 'T') THEN 'Title carried a marker.' END AS note
+       FROM valid v JOIN (SELECT code, min(p_name) AS title FROM codes GROUP BY 1) t ON t.code = v.code LEFT JOIN longest l ON l.code = v.code
        LEFT JOIN valid r ON contains(r.code, '-') AND v.level > 2 AND CAST(substr(v.code, 1, 2) AS INT) BETWEEN CAST(substr(r.code, 1, 2) AS INT) AND CAST(substr(r.code, 4, 2) AS INT)""",
 )
 def classification_dimension(spark, folder):
     dim = mapping.classification(part_codes(spark, folder), "code", "p_name")
-    return dim.select("code", F.col("level").cast("int").alias("level"), "parent")
+    return dim.select("code", F.col("level").cast("int").alias("level"), "parent", "title", "note")
 
 
 # --- C and D: mapping, roll-up, audits
@@ -608,16 +609,16 @@ def accepted_layer(spark, folder):
     )
 
 
-_REJECT_CASE = """CASE WHEN place_status <> 'direct_match' THEN 'unmapped_geography'
-  WHEN category_status = 'unresolved' THEN 'unmapped_industry' WHEN is_suppressed THEN 'suppressed' WHEN is_missing THEN 'missing_measure' END"""
+_REJECT_CASE = """CASE WHEN place_status <> 'direct_match' THEN 'unresolved_geography'
+  WHEN category_status = 'unresolved' THEN 'unresolved_industry' WHEN is_suppressed THEN 'suppressed_value' WHEN is_missing THEN 'missing_required_startup_measure' END"""
 
 
 def reject_reasons():
     return [
-        (F.col("place_status") != "direct_match", "unmapped_geography"),
-        (F.col("category_status") == "unresolved", "unmapped_industry"),
-        (F.col("is_suppressed"), "suppressed"),
-        (F.col("is_missing"), "missing_measure"),
+        (F.col("place_status") != "direct_match", "unresolved_geography"),
+        (F.col("category_status") == "unresolved", "unresolved_industry"),
+        (F.col("is_suppressed"), "suppressed_value"),
+        (F.col("is_missing"), "missing_required_startup_measure"),
     ]
 
 
@@ -715,6 +716,16 @@ def incomplete_groups(spark, folder):
     )
 
 
+@query(
+    "rollup_rejects",
+    B.with_sql(B.SUPPORT_SQL)
+    + """SELECT 'support' AS stage, geo, ind, yr, CASE WHEN members_suppressed > 0 THEN 'suppressed_value' WHEN members_missing > 0 THEN 'missing_required_measure'
+         ELSE 'incomplete_aggregation' END AS reason FROM support_stage WHERE NOT is_complete""",
+)
+def rollup_rejects(spark, folder):
+    return audit.rejects(B.support_stage(spark, folder), "support", B.KEY, audit.rollup_reasons()).drop("payload")
+
+
 @query(
     "rollup_lineage",
     B.with_sql(B.SUPPORT_SQL) + "SELECT geo, ind, yr, member AS source_id FROM member_rows",
@@ -822,7 +833,9 @@ def readiness_grid(spark, folder):
         SELECT source, yr, count(*) AS row_count, count(*) FILTER (WHERE category_status = 'directly_comparable') AS direct_rows,
           count(*) FILTER (WHERE category_status = 'official_mapping_required') AS mapped_rows,
           count(*) FILTER (WHERE category_status = 'unresolved') AS unresolved_rows,
-          count(*) FILTER (WHERE stored <> expected) AS vintage_mismatches
+          count(*) FILTER (WHERE stored <> expected) AS vintage_mismatches,
+          coalesce(string_agg(DISTINCT target_code, ',' ORDER BY target_code), '') AS retained_codes,
+          coalesce(string_agg(DISTINCT CASE WHEN target_code IS NULL THEN source_code END, ',' ORDER BY CASE WHEN target_code IS NULL THEN source_code END), '') AS excluded_codes
         FROM v JOIN accepted ON source_code = c_mktsegment GROUP BY 1, 2""",
 )
 def vintage_audit(spark, folder):
@@ -835,7 +848,7 @@ def vintage_audit(spark, folder):
     )
     mapped = mapping.map_codes(rows, "ind", mapping.reciprocal(segment_relations(spark, folder)))
     return audit.vintage_audit(
-        mapped, "source", "yr", "stored", C.vintage_of(F.col("source"), F.col("yr")), "category_status"
+        mapped, "source", "yr", "ind", "target_code", "stored", C.vintage_of(F.col("source"), F.col("yr")), "category_status"
     )
 
 

@@ -46,6 +46,19 @@ def export_projection(spark, folder):
     return B.rounded(sinks.with_constants(B.panel_table(spark, folder), renames, {"dataset": "panel", "version": 1}))
 
 
+@query(
+    "filtered_predictions",
+    S.VALID_SQL + " SELECT geo, ind, predictor_year, round(rate_score, 6) AS rate_score FROM valid WHERE fold = 'final_holdout' AND predictor_year = 1998 AND ind IN ('BUILDING', 'FURNITURE')",
+)
+def filtered_predictions(spark, folder):
+    rows = freeze(S.validation_scores(spark, folder))
+    kept = marts.filter_predictions(
+        rows, "fold", "final_holdout", [f.name for f in L.FOLDS], year=1998, categories=["BUILDING", "FURNITURE"],
+        names={"category": "ind", "year": "predictor_year"},
+    )
+    return B.rounded(kept.select("geo", "ind", "predictor_year", "rate_score"))
+
+
 @query(
     "prediction_semi_join",
     S.VALID_SQL + " SELECT geo, ind, yr FROM analytic_panel p WHERE EXISTS (SELECT 1 FROM valid v WHERE v.geo = p.geo AND v.ind = p.ind AND v.predictor_year = p.yr)",
@@ -59,19 +72,20 @@ def prediction_semi_join(spark, folder):
     "attached_predictions",
     S.VALID_SQL
     + """ SELECT p.geo, p.ind, p.yr, round(rate_score, 6) AS rate_score, CASE WHEN alignment_residual IS NULL THEN 'No expected-rate comparison is available for this row.'
-            WHEN alignment_residual < 0 THEN 'The observed rate is below the expected rate.' ELSE 'The observed rate is at or above the expected rate.' END AS reading
+            WHEN gap_p20 = 1 THEN 'The observed rate is far enough below the expected rate to count as a gap.' WHEN alignment_residual < 0 THEN 'The observed rate is below the expected rate, but not a gap.'
+            ELSE 'The observed rate is at or above the expected rate; no gap.' END AS reading
           FROM analytic_panel p LEFT JOIN (SELECT geo, ind, predictor_year, rate_score FROM valid) v ON v.geo = p.geo AND v.ind = p.ind AND v.predictor_year = p.yr
-          LEFT JOIN (SELECT geo, ind, target_year, alignment_residual FROM labelled WHERE split_role = 'validation') l ON l.geo = p.geo AND l.ind = p.ind AND l.target_year = p.yr""",
+          LEFT JOIN (SELECT geo, ind, target_year, alignment_residual, gap_p20 FROM labelled WHERE split_role = 'validation') l ON l.geo = p.geo AND l.ind = p.ind AND l.target_year = p.yr""",
 )
 def attached_predictions(spark, folder):
     """Scores at the predictor year and residual readings at the target year, both one-to-one."""
     scored = S.validation_scores(spark, folder).select("geo", "ind", F.col("predictor_year").alias("yr"), "rate_score")
     residuals = L.labelled(spark, folder).filter("split_role = 'validation'").select(
-        "geo", "ind", F.col("target_year").alias("yr"), "alignment_residual"
+        "geo", "ind", F.col("target_year").alias("yr"), "alignment_residual", "gap_p20"
     )
     rows = joins.checked_join(B.panel_table(spark, folder).select(*B.KEY), scored, B.KEY, "left", "one_to_one")
     rows = joins.checked_join(rows, residuals, B.KEY, "left", "many_to_one")
-    return B.rounded(rows.select(*B.KEY, "rate_score", M.residual_reading(F.col("alignment_residual")).alias("reading")))
+    return B.rounded(rows.select(*B.KEY, "rate_score", M.residual_reading(F.col("alignment_residual"), F.col("gap_p20")).alias("reading")))
 
 
 @query(
