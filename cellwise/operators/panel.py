@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwise.functions import measures as M
-from cellwise.operators import calendar as cal
 from cellwise.operators.joins import unique_on
 
 KEY = ["geo", "ind", "yr"]
@@ -134,11 +133,3 @@ def missing_by_column(panel: DataFrame, columns: Sequence[str], by: Sequence[str
 def flag_totals(panel: DataFrame, flags: Sequence[str]) -> DataFrame:
     wide = panel.agg(*[F.count_if(F.col(f)).alias(f) for f in flags])
     return wide.unpivot([], list(flags), "flag", "row_count")
-
-
-def add_structural_prior(panel: DataFrame, keys: Sequence[str], year: str, steps: Sequence[int]) -> DataFrame:
-    """``_prior<n>``: whether the row n calendar years earlier exists."""
-    frames = {
-        f"_prior{n}": (lambda step: lambda frame: F.count(F.lit(1)).over(frame(-step)) > 0)(n) for n in steps
-    }
-    return cal.add(panel, keys, year, frames)

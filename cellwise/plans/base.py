@@ -484,17 +484,22 @@ analytic_panel AS (
 )
 
 
-_STORED_PANELS: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
-def panel_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The integrated panel as a Parquet table partitioned by year, written once per application."""
+def stored(spark: SparkSession, folder: str, name: str, build, partition: tuple[str, ...] = ()) -> DataFrame:
+    """A layer as a Parquet table below the shared folder, written once per application."""
     from cellwise.session import scratch_path
     from cellwise.sources.sinks import write_table
 
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _STORED_PANELS:
-        path = scratch_path(spark, "panel")
-        write_table(analytic_panel(spark, folder), path, ["yr"])
-        _STORED_PANELS[key] = path
-    return spark.read.parquet(_STORED_PANELS[key])
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        write_table(build(spark, folder), path, partition)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def panel_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The integrated panel, partitioned by year."""
+    return stored(spark, folder, "panel", analytic_panel, ("yr",))

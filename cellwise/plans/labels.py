@@ -66,10 +66,15 @@ def scored_pairs(spark, folder):
     )
 
 
-def labelled(spark, folder):
+def build_labelled(spark, folder):
     return labels.with_labels(scored_pairs(spark, folder), cutoffs(spark, folder), ["fold"], "alignment_residual")
 
 
+def labelled(spark, folder):
+    """The labelled pairs as a stored table, which all later stages read."""
+    return B.stored(spark, folder, "labelled-pairs", build_labelled)
+
+
 _FOLD_VALUES = ", ".join(
     f"('{f.name}', {f.first}, {f.train_last}, {f.eval_first}, {f.eval_last}, {f.fit_last})" for f in FOLDS
 )
@@ -143,7 +148,7 @@ def residual_thresholds(spark, folder):
 )
 def gap_labels(spark, folder):
     columns = ["fold", "split_role", "geo", "ind", "predictor_year", "target_year", "alignment_residual", *labels.LABELS.values(), "gap_margin"]
-    return B.rounded(labelled(spark, folder).select(*columns))
+    return B.rounded(build_labelled(spark, folder).select(*columns))
 
 
 @query(

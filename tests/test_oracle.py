@@ -1,13 +1,12 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query with SQL, value by value, at sf0.01."""
 
 import pytest
 
 import __spark_entry__ as entry
 from oracle import compare, connect
 
-FOLDER = "/root/testdata/sf0.001"
-# At this size few panel cells are complete, so fits on the panel have no rows there.
-NEEDS_LARGER = "/root/testdata/sf0.01"
+# At sf0.001 few panel cells are complete, so fits on the panel would have no rows.
+FOLDER = "/root/testdata/sf0.01"
 
 QUERIES = entry.queries()
 SQL = entry.oracle_sql()
@@ -15,7 +14,7 @@ SQL = entry.oracle_sql()
 
 @pytest.fixture(scope="module")
 def con():
-    return connect(NEEDS_LARGER)
+    return connect(FOLDER)
 
 
 def test_entry_runs(spark):
@@ -28,5 +27,5 @@ def test_every_sql_has_a_query():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, con, name):
-    problems = compare(QUERIES[name](spark, NEEDS_LARGER), con, SQL[name])
+    problems = compare(QUERIES[name](spark, FOLDER), con, SQL[name])
     assert not problems, problems
