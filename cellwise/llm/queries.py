@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellwise.llm import neardup
+from cellwise.llm import neardup, suffixes
 from cellwise.session import table
 
 QUERIES: dict = {}
@@ -21,6 +21,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op7_longest_previous_factor_dedup")
+def op7(spark, folder):
+    return suffixes.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op10_superminhash_near_duplicates")
 def op10(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
