@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellwise.llm import neardup, suffixes
+from cellwise.llm import decontam, neardup, suffixes
 from cellwise.session import table
 
 QUERIES: dict = {}
@@ -26,6 +26,12 @@ def op7(spark, folder):
     return suffixes.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query("op9_winnowing_decontamination")
+def op9(spark, folder):
+    found = decontam.contamination(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return decontam.digest(found)
+
+
 @query("op10_superminhash_near_duplicates")
 def op10(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
