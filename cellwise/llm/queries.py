@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellwise.llm import decontam, neardup, suffixes
+from cellwise.llm import decontam, neardup, quality, suffixes
 from cellwise.session import table
 
 QUERIES: dict = {}
@@ -21,6 +21,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op4_random_indexing_quality")
+def op4(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op7_longest_previous_factor_dedup")
 def op7(spark, folder):
     return suffixes.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))

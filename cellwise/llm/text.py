@@ -35,15 +35,24 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _lowered(keep) -> tuple[np.ndarray, np.ndarray]:
-    word = np.zeros(256, bool)
-    word[[b for b in range(256) if keep(b)]] = True
-    return word, BYTE_VALUES[_LOWER]
+def _kind(sort, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each byte (0: between words; a word is a run of one class) and its value."""
+    return np.array([int(sort(b)) for b in range(256)], np.uint8), BYTE_VALUES[_LOWER] if fold else BYTE_VALUES
+
+
+def _blank(b: int) -> bool:
+    return b == 0x20 or 0x09 <= b <= 0x0D
+
+
+def _plain(b: int) -> bool:
+    return b >= 0x80 or chr(b).isalnum()
 
 
 # Words between blanks, and words of letters, digits and bytes from 0x80; A-Z as a-z.
-BLANK_WORDS = _lowered(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
-PLAIN_WORDS = _lowered(lambda b: b >= 0x80 or chr(b).isalnum())
+BLANK_WORDS = _kind(lambda b: not _blank(b), True)
+PLAIN_WORDS = _kind(_plain, True)
+# Words as in PLAIN_WORDS and runs of other visible bytes, in their own case.
+TOKENS = _kind(lambda b: 0 if _blank(b) else 1 if _plain(b) else 2, False)
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -84,16 +93,14 @@ def runs(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, i
 
 def _word_hashes(data: np.ndarray, starts: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of every word of ``data``; ``starts``: where rows begin."""
-    word, values = kind
-    inside = word[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
-    cuts = starts[(starts > 0) & (starts < len(data))]
-    joined = cuts[inside[cuts] & inside[cuts - 1]]
-    first[joined] = True
-    last[joined - 1] = True
+    sort, values = kind
+    inside = sort[data]
+    turn = inside[1:] != inside[:-1]
+    turn[starts[(starts > 0) & (starts < len(data))] - 1] = True
+    filled = inside > 0
+    first, last = filled.copy(), filled
+    first[1:] &= turn
+    last[:-1] &= turn
     at, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     power, inverse = _power(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
@@ -116,8 +123,8 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, kind) -> tuple[np.ndarray,
             continue
         while lo < hi:
             end = min(lo + SLICE_BYTES, hi)
-            while end < hi and kind[0][data[end]] and kind[0][data[end - 1]]:
-                more = np.flatnonzero(~kind[0][data[end : end + 4096]])
+            while end < hi and kind[0][data[end]] and kind[0][data[end]] == kind[0][data[end - 1]]:
+                more = np.flatnonzero(kind[0][data[end : end + 4096]] != kind[0][data[end - 1]])
                 end = min(end + (int(more[0]) if len(more) else 4096), hi)
             got, _ = _word_hashes(data[lo:end], np.zeros(1, np.int64), kind)
             hashes.append(got)
