@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellwise.llm import decontam, neardup, quality, suffixes
+from cellwise.llm import decontam, neardup, packing, quality, sharding, suffixes
 from cellwise.session import table
 
 QUERIES: dict = {}
@@ -21,6 +21,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_optimal_length_buckets")
+def op1(spark, folder):
+    return packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op2_karmarkar_karp_shards")
+def op2(spark, folder):
+    return sharding.balanced_shards(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op4_random_indexing_quality")
 def op4(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")

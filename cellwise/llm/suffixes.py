@@ -356,22 +356,22 @@ def _cut(columns: list[str], rewrite: bool):
             digests.append(hashlib.sha256(left).hexdigest())
             if rewrite:
                 kept.append(left.decode("utf-8", "ignore"))
-        out = {c: rows[c] for c in columns}
         if rewrite:
             nulls = rows["text"].is_null().to_pylist()
-            out["text"] = pa.array([None if n else k for n, k in zip(nulls, kept)], pa.string())
+            texts = pa.array([None if n else k for n, k in zip(nulls, kept)], pa.string())
+            return pa.table({c: texts if c == "text" else rows[c] for c in columns})
         return pa.table(
-            out | {"n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+            {"doc_id": rows["doc_id"]} | {"n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         )
 
     return cut
 
 
 def remove_repeats(docs: DataFrame, rewrite: bool = False) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text, ...) with n_bytes, n_removed, n_spans, kept_sha256.
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of ``docs``.
 
-    With ``rewrite`` all columns are kept and ``text`` is what is left (bytes of characters
-    cut in half go too); else only doc_id and the figures come back. Matches never cross
+    With ``rewrite`` the columns of ``docs`` come back instead, ``text`` being what is left
+    (bytes of characters cut in half go too). Matches never cross
     documents; a string repeated only inside one document, or only in rows with the same
     doc_id, stays. Null text counts as empty and stays null; rows without a doc_id stay
     whole and make nothing else a repeat. An empty table gives an empty table.
@@ -392,5 +392,7 @@ def remove_repeats(docs: DataFrame, rewrite: bool = False) -> DataFrame:
     )
     matched = sent.repartition(partitions_for(total, MATCH_BYTES), "gram").mapInArrow(_match(block), f"`{block}` int, gram long, class long, least long, mask long")
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+    if not rewrite:
+        schema += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return blocks.groupBy(block).cogroup(matched.groupBy(block)).applyInArrow(_cut(columns, rewrite), schema)
