@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellwise.llm import decontam, neardup, packing, quality, sharding, suffixes
+from cellwise.llm import decontam, neardup, packing, quality, sharding, suffixes, urls, warc
 from cellwise.session import table
 
 QUERIES: dict = {}
@@ -21,6 +21,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+_FETCHED = "1704067200 + (page_id * 7919) % 31536000"
+
+
+def captures(spark, folder):
+    """The pages with a fetch time that follows from the page_id."""
+    return table(spark, folder, "pages").withColumn("fetched_at", F.timestamp_seconds(F.expr(_FETCHED)))
+
+
 @query("op1_optimal_length_buckets")
 def op1(spark, folder):
     return packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
@@ -31,6 +39,26 @@ def op2(spark, folder):
     return sharding.balanced_shards(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+_KEYED = f"""SELECT page_id, encode(coalesce(html, '')) AS payload, {_FETCHED} AS moment,
+    regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]*)', 1) AS host,
+    regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://[^/?#]*)?([^#]*)', 1) AS rest FROM pages"""
+
+
+@query(
+    "op3_warc_index_merge",
+    f"""WITH p AS (SELECT *, sha256(payload) AS digest, octet_length(payload) AS n,
+               coalesce(array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END, '') AS url_key FROM ({_KEYED})),
+         f AS (SELECT digest, min(page_id) AS first_id FROM p WHERE n >= {warc.LEAST_REVISIT} GROUP BY digest)
+         SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+                CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+                CASE WHEN page_id <> first_id THEN first_id END AS refers_to,
+                row_number() OVER (ORDER BY url_key, moment, page_id) - 1 AS position, url_key
+         FROM p LEFT JOIN f USING (digest)""",
+)
+def op3(spark, folder):
+    return warc.round_trip(captures(spark, folder).select("page_id", "url", "html", "fetched_at"))
+
+
 @query("op4_random_indexing_quality")
 def op4(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -42,6 +70,56 @@ def op7(spark, folder):
     return suffixes.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+_DAY = 86_400
+_START = 1_704_067_200
+
+
+def list_events(spark, folder):
+    """A dated list made from the hosts of the pages: additions, removals and returns."""
+    pages = table(spark, folder, "pages").select(urls.host("url").alias("pattern")).filter("pattern IS NOT NULL")
+    hosts = pages.distinct()
+    above = hosts.select(F.regexp_extract("pattern", r"([^.]+\.[^.]+)$", 1).alias("pattern")).filter("pattern <> ''").distinct()
+
+    def drawn(names):
+        return names.withColumn("c", F.conv(F.substring(F.sha2("pattern", 256), 1, 8), 16, 10).cast("long"))
+
+    def events(rows, category, action, day):
+        return rows.select("pattern", category.alias("category"), F.lit(action).alias("action"), F.timestamp_seconds(F.lit(_START) + day * _DAY).alias("effective_at"))
+
+    c = F.col("c")
+    some = drawn(hosts).filter(c % 3 == 0)
+    kind, first = F.concat(F.lit("c"), (c % 4).cast("string")), c % 200
+    whole = drawn(above)
+    return (
+        events(some, kind, "add", first)
+        .unionByName(events(some.filter(c % 2 == 0), kind, "remove", first + 20 + c % 60))
+        .unionByName(events(some.filter(c % 5 == 0), kind, "add", first + 150))
+        .unionByName(events(whole, F.lit("domain"), "add", 60 + c % 30))
+        .unionByName(events(whole, F.lit("domain"), "remove", 74 + c % 30))
+    )
+
+
+@query(
+    "op8_temporal_url_lists",
+    f"""WITH p AS (SELECT page_id, url, {_FETCHED} AS t, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '[.]+$', ''), '') AS host FROM pages),
+         hosts AS (SELECT DISTINCT host AS pattern FROM p WHERE host IS NOT NULL),
+         above AS (SELECT DISTINCT regexp_extract(pattern, '([^.]+[.][^.]+)$', 1) AS pattern FROM hosts),
+         h AS (SELECT pattern, ('0x' || substr(sha256(pattern), 1, 8))::BIGINT AS c FROM hosts), a AS (SELECT pattern, ('0x' || substr(sha256(pattern), 1, 8))::BIGINT AS c FROM above WHERE pattern <> ''),
+         e AS (SELECT pattern, 'c' || (c % 4) AS category, 'add' AS action, c % 200 AS day FROM h WHERE c % 3 = 0
+               UNION SELECT pattern, 'c' || (c % 4), 'remove', c % 200 + 20 + c % 60 FROM h WHERE c % 3 = 0 AND c % 2 = 0
+               UNION SELECT pattern, 'c' || (c % 4), 'add', c % 200 + 150 FROM h WHERE c % 3 = 0 AND c % 5 = 0
+               UNION SELECT pattern, 'domain', 'add', 60 + c % 30 FROM a UNION SELECT pattern, 'domain', 'remove', 74 + c % 30 FROM a),
+         v AS (SELECT pattern, category, action, {_START} + day * {_DAY} AS valid_from, lead({_START} + day * {_DAY}) OVER (PARTITION BY pattern, category ORDER BY day, action) AS valid_to FROM e),
+         hit AS (SELECT p.page_id, v.pattern, v.category, v.valid_from,
+                        row_number() OVER (PARTITION BY p.page_id ORDER BY length(v.pattern) DESC, v.pattern, v.category, v.valid_from) AS k
+                 FROM p JOIN v ON (p.host = v.pattern OR ends_with(p.host, '.' || v.pattern)) AND v.action = 'add' AND v.valid_from <= p.t AND (v.valid_to IS NULL OR p.t < v.valid_to))
+         SELECT p.page_id, host, t AS fetched, hit.page_id IS NOT NULL AS blocked, hit.pattern, hit.category, CAST(hit.valid_from AS BIGINT) AS valid_from FROM p LEFT JOIN hit ON hit.page_id = p.page_id AND k = 1""",
+)
+def op8(spark, folder):
+    seen = urls.listed(captures(spark, folder).select("page_id", "url", "fetched_at"), list_events(spark, folder))
+    return seen.select("page_id", "host", F.unix_timestamp("fetched_at").alias("fetched"), "blocked", "pattern", "category", F.unix_timestamp("valid_from").alias("valid_from"))
+
+
 @query("op9_winnowing_decontamination")
 def op9(spark, folder):
     found = decontam.contamination(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
