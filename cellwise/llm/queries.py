@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellwise.llm import decontam, neardup, packing, quality, sharding, suffixes, urls, warc
+from cellwise.llm import ann, decontam, licenses, neardup, packing, quality, sharding, suffixes, urls, warc
 from cellwise.session import table
 
 QUERIES: dict = {}
@@ -65,6 +65,17 @@ def op4(spark, folder):
     return quality.classify(docs, table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+@query("op5_multi_index_hashing")
+def op5(spark, folder):
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return ann.neighbours(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+@query("op6_licence_paragraph_classifier")
+def op6(spark, folder):
+    return licenses.documents_with(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op7_longest_previous_factor_dedup")
 def op7(spark, folder):
     return suffixes.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
