@@ -1,29 +1,75 @@
-"""A corpus from raw documents to packed batches: STAGES in order, each written and read again."""
+"""A corpus from raw documents to packed batches: STAGES in order, each written and read again.
+
+Every stage but the last returns the columns it was given. Rows that share a doc_id count as
+one document: what removes one of them removes all.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cellwise.llm import decontam, neardup, packing, quality, suffixes
+from cellwise.llm.common import free_name, freeze
+from cellwise.session import broadcast_checked, scratch_path, table
+
 
-from cellwise.llm import neardup
-from cellwise.llm.common import ship
-from cellwise.session import scratch_path
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the documents listed in ``ids``; a short list is broadcast, a long one shuffled."""
+    gone = freeze(ids.select("doc_id").distinct())
+    return docs.join(broadcast_checked(gone), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; it is fitted on these documents."""
+    scored = quality.classify(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return _without(docs, scored.filter("predicted = 0"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the least doc_id."""
-    found = neardup.near_duplicates(docs)
-    return docs.join(found.filter("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near-duplicates the document with the least doc_id stays."""
+    return _without(docs, neardup.near_duplicates(docs).filter("NOT kept"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings met in a smaller document are cut out; a document left with nothing goes.
+
+    n_chars, where the table has it, follows the text. Documents without text stay.
+    """
+    had = free_name(docs, "had_text")
+    marked = docs.withColumn(had, F.coalesce(F.octet_length("text") > 0, F.lit(False)))
+    left = suffixes.remove_repeats(marked, rewrite=True).filter(~F.col(had) | (F.octet_length("text") > 0))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        left = left.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
+    return left.select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more of the words stand in benchmark windows go."""
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.filter("contaminated"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its bucket, batch and slot."""
+    return packing.pack(docs)
 
 
 STAGES = [
+    ("quality_classifier", drop_low_quality),
     ("near_duplicates", drop_near_duplicates),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_contaminated),
+    ("packing", pack),
 ]
 
+#: The classifier and the signatures have no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = ship(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
