@@ -5,9 +5,11 @@ doc_id. Suffixes of a whole corpus do not fit one task, so each is sent to where
 are: every window of LENGTH bytes names its anchor, the leftmost of its GRAM-byte strings
 with the least hash. Equal windows have equal anchors at equal places.
 
+0. Documents whose whole text is that of a smaller document go at once; what they repeat
+   stands in that document too, so they take no part in the steps below.
 1. Each block of documents reports its distinct anchors; anchors met once are dropped.
-2. For the rest each block sends the text around the anchor (only the bytes of windows
-   that name it), equal ones once, with their least doc_id.
+2. For the rest each block sends the bytes beside the anchor (only those of windows that
+   name it), equal ones once, with their least doc_id.
 3. The texts around one anchor meet in one partition. Their suffixes are sorted, and the
    previous and next suffixes of a smaller document give each suffix's longest factor met
    in an earlier document: windows of LENGTH or more are repeats.
@@ -25,17 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellwise.llm import text as X
-from cellwise.llm.common import free_name, partitions_for, scalar, ship, utf8_length
+from cellwise.llm.common import free_name, freeze, partitions_for, scalar, ship, utf8_length
 
 LENGTH = 50
 GRAM = 20
 SIDE = LENGTH - GRAM  # windows that may name one anchor start up to SIDE bytes before it
 AROUND = LENGTH + SIDE
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 REPORT_BYTES = 32 << 20  # text bytes whose anchors one partition of step 1 reads
 MATCH_BYTES = 12 << 20
 RUN_BYTES = 1 << 20
@@ -111,18 +114,19 @@ def _ids(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False)
 
 
-def _texts(blocks: pa.Table):
-    """Bytes, offsets and ids; rows without a doc_id count as empty."""
+def _texts(blocks: pa.Table, mark: str, beside: pa.Table):
+    """Bytes, offsets, ids, rows that take no part (copies and rows without a doc_id), and copies."""
     data, offsets = X.utf8(blocks["text"])
     ids, unnamed = _ids(blocks)
-    return data, offsets, ids, unnamed
+    copies = np.isin(blocks[mark].to_numpy(), beside["copy"].drop_null().to_numpy())
+    return data, offsets, ids, unnamed | copies, copies
 
 
-def _report(block: str):
+def _report(block: str, mark: str):
     """Step 1: the distinct anchors of a block, and whether several of its documents have them."""
 
-    def report(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        data, offsets, ids, unnamed = _texts(rows)
+    def report(key: tuple[pa.Scalar, ...], rows: pa.Table, beside: pa.Table) -> pa.Table:
+        data, offsets, ids, unnamed, _ = _texts(rows, mark, beside)
         grams, owners = [], []
         for _, gram, _, _, row in _found(data, offsets):
             keep = ~unnamed[row]
@@ -168,10 +172,14 @@ def _repeated(block: str):
 
 
 def _surroundings(data, offsets, at, first, last, row) -> np.ndarray:
-    """Bytes from SIDE before to LENGTH after each anchor; zero outside the windows that name it."""
+    """Bytes from SIDE before to LENGTH after each anchor; zero outside the windows that name it.
+
+    The anchor itself, the same wherever its hash is, is zero too.
+    """
     span = np.arange(-SIDE, LENGTH, dtype=np.int64)
     place = at[:, None] + span
     inside = (place >= first[:, None]) & (place < last[:, None] + LENGTH)
+    inside[:, SIDE : SIDE + GRAM] = False
     np.clip(place, 0, len(data) - 1, out=place)
     return np.where(inside, data[place], 0).astype(np.uint8)
 
@@ -192,24 +200,36 @@ def _listed(data, offsets, listed: np.ndarray):
             yield gram[part], around, low, high, first[part], row[part], _class(gram[part], around, low, high)
 
 
-_SENT = pa.schema([("gram", pa.int64()), ("low", pa.int8()), ("high", pa.int8()), ("around", pa.binary()), ("class", pa.int64()), ("doc", pa.int64()), ("many", pa.bool_())])
+_SENT = pa.schema([("gram", pa.int64()), ("range", pa.int16()), ("beside", pa.binary()), ("doc", pa.int64())])
+
+
+def _beside(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which bytes of the surroundings are sent: left of the anchor from low, right of it up to high."""
+    span = np.arange(AROUND)
+    return ((span >= low[:, None]) & (span < SIDE)) | ((span >= SIDE + GRAM) & (span < high[:, None] + LENGTH))
+
+
+def _packed(around: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Array:
+    at = np.append(0, np.cumsum(SIDE - low + high)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(low), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(around[_beside(low, high)].tobytes())])
 
 
-def _binary_rows(matrix: np.ndarray) -> pa.Array:
-    width = matrix.shape[1]
-    at = pa.py_buffer((np.arange(len(matrix) + 1) * width).astype(np.int32).tobytes())
-    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, at, pa.py_buffer(np.ascontiguousarray(matrix).tobytes())])
+def _unpacked(packed, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    data, at = X.utf8(packed)
+    around = np.zeros((len(low), AROUND), np.uint8)
+    around[_beside(low, high)] = data[int(at[0]) : int(at[-1])]
+    return around
 
 
-def _send(block: str):
+def _send(block: str, mark: str):
     """Step 2: distinct surroundings of the block's repeated anchors, with the least doc_id."""
 
     def send(key: tuple[pa.Scalar, ...], rows: pa.Table, wanted: pa.Table) -> pa.Table:
         empty = _SENT.empty_table().append_column(block, pa.array([], pa.int32()))
-        if not rows.num_rows or not wanted.num_rows:
+        listed = np.sort(wanted["gram"].drop_null().to_numpy().view(np.uint64))
+        if not rows.num_rows or not len(listed):
             return empty
-        data, offsets, ids, unnamed = _texts(rows)
-        listed = np.sort(wanted["gram"].to_numpy().view(np.uint64))
+        data, offsets, ids, unnamed, _ = _texts(rows, mark, wanted)
         kept = []
         for gram, around, low, high, _, row, kind in _listed(data, offsets, listed):
             keep = ~unnamed[row]
@@ -222,7 +242,7 @@ def _send(block: str):
             tail = np.append(head[1:], len(order)) - 1
             many = doc[order[head]] != doc[order[tail]]
             order = order[head]
-            kept.append((gram[order], low[order].astype(np.int8), high[order].astype(np.int8), around[order], kind[order], doc[order], many))
+            kept.append((gram[order], low[order], high[order], around[order], kind[order], doc[order], many))
         if not kept:
             return empty
         gram, low, high, around, kind, doc, many = (np.concatenate(x) for x in zip(*kept))
@@ -231,8 +251,9 @@ def _send(block: str):
         tail = np.append(head[1:], len(order)) - 1
         several = (np.add.reduceat(many[order].astype(np.int64), head) > 0) | (doc[order[head]] != doc[order[tail]])
         order = order[head]
+        low, high = low[order], high[order]
         return pa.table(
-            {"gram": gram[order].view(np.int64), "low": low[order], "high": high[order], "around": _binary_rows(around[order]), "class": kind[order].view(np.int64), "doc": doc[order], "many": several}
+            {"gram": gram[order].view(np.int64), "range": (low + 32 * high + 1024 * several).astype(np.int16), "beside": _packed(around[order], low, high), "doc": doc[order]}
         ).append_column(block, pa.array(np.full(len(order), key[0].as_py()), pa.int32()))
 
     return send
@@ -278,7 +299,14 @@ def _match(block: str):
         rows = _gather(batches)
         if rows is None:
             return
-        gram, kind, doc = (rows[c].to_numpy() for c in ("gram", "class", "doc"))
+        gram, doc, packed = rows["gram"].to_numpy(), rows["doc"].to_numpy(), rows["range"].to_numpy().astype(np.int64)
+        kind = np.empty(len(gram), np.uint64)
+        for k in range(0, len(gram), SUFFIXES_AT_ONCE):
+            part = slice(k, k + SUFFIXES_AT_ONCE)
+            ends = packed[part] % 32, packed[part] // 32 % 32
+            around = _unpacked(rows["beside"].slice(k, SUFFIXES_AT_ONCE), *ends)
+            kind[part] = _class(gram[part].view(np.uint64), around, *ends)
+        kind = kind.view(np.int64)
         order = np.lexsort((doc, kind, gram))
         gram, kind, doc = gram[order], kind[order], doc[order]
         new_gram = np.append(True, gram[1:] != gram[:-1])
@@ -288,8 +316,7 @@ def _match(block: str):
         least = doc[head]
         family = (np.cumsum(new_gram) - 1)[head]
         several = np.bincount(family)[family] > 1
-        low, high = rows["low"].to_numpy()[order[head]].astype(np.int64), rows["high"].to_numpy()[order[head]].astype(np.int64)
-        data, at = X.utf8(rows["around"])
+        low, high = packed[order[head]] % 32, packed[order[head]] // 32 % 32
         masks = np.zeros(len(head), np.int64)
         todo = np.flatnonzero(several)
         weight = np.cumsum(high[todo] - low[todo] + 1)
@@ -304,14 +331,14 @@ def _match(block: str):
             counts = high[part] - low[part] + 1
             who = np.repeat(np.arange(len(part)), counts)
             start = np.arange(counts.sum()) - np.repeat(np.append(0, np.cumsum(counts)[:-1]), counts) + low[part][who]
-            around = data[at[order[head[part]]][:, None] + np.arange(AROUND)]
+            around = _unpacked(rows["beside"].take(pa.array(order[head[part]])), low[part], high[part])
             padded = np.concatenate([around, np.zeros_like(around)], axis=1)
             suffixes = padded[who[:, None], start[:, None] + np.arange(AROUND)]
             lengths = high[part][who] + LENGTH - start
             previous = longest_previous(suffixes, lengths, family[part][who], least[part][who])
             hit = previous >= LENGTH
             np.bitwise_or.at(masks, part[who[hit]], np.left_shift(np.int64(1), start[hit]))
-        many = rows["many"].to_numpy(zero_copy_only=False)[order]
+        many = packed[order] >= 1024
         useful = many | (doc > least[of]) | (masks[of] != 0)
         yield from _in_batches(
             pa.table({block: rows[block].to_numpy()[order][useful], "gram": gram[useful], "class": kind[useful], "least": least[of][useful], "mask": masks[of][useful]})
@@ -320,13 +347,16 @@ def _match(block: str):
     return match
 
 
-def _cut(columns: list[str], rewrite: bool):
+def _cut(columns: list[str], rewrite: bool, mark: str):
     """Step 4: the rows of a block with their repeated bytes counted, and cut out of the text."""
 
     def cut(key: tuple[pa.Scalar, ...], rows: pa.Table, found: pa.Table) -> pa.Table:
-        data, offsets, ids, unnamed = _texts(rows)
+        data, offsets, ids, unnamed, copies = _texts(rows, mark, found)
         base = int(offsets[0])
         marks = np.zeros(int(offsets[-1]) - base + 1, np.int32)
+        np.add.at(marks, offsets[:-1][copies] - base, 1)
+        np.add.at(marks, offsets[1:][copies] - base, -1)
+        found = found.filter(pc.is_null(found["copy"]))
         if found.num_rows:
             kinds = found["class"].to_numpy().view(np.uint64)
             order = np.argsort(kinds, kind="stable")
@@ -383,16 +413,26 @@ def remove_repeats(docs: DataFrame, rewrite: bool = False) -> DataFrame:
         source = source.select("doc_id", "text")
     total = scalar(source.agg(F.coalesce(F.sum(utf8_length("text")), F.lit(0))))
     count = partitions_for(total, BLOCK_BYTES)
-    blocks = source.withColumn(block, F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(count)).cast("int")).repartition(count, block)
-    report = blocks.groupBy(block).applyInArrow(_report(block), f"gram long, `{block}` int, many boolean")
+    mark = free_name(docs, "mark")
+    marked = source.withColumn(mark, F.xxhash64("doc_id", F.xxhash64("text"))).withColumn(block, F.pmod(mark, F.lit(count)).cast("int"))
+    blocks = marked.repartition(count, block)
+    long = marked.filter(F.octet_length("text") >= LENGTH).filter("doc_id IS NOT NULL").select("doc_id", mark, block, F.sha2("text", 256).alias("same"))
+    firsts = long.groupBy("same").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
+    copies = long.join(firsts, "same").filter("doc_id > least").select(block, F.col(mark).alias("copy"))
+    copies = freeze(copies)
+
+    def with_copies(rows: DataFrame) -> DataFrame:
+        return rows.unionByName(copies, allowMissingColumns=True)
+
+    report = blocks.groupBy(block).cogroup(copies.groupBy(block)).applyInArrow(_report(block, mark), f"gram long, `{block}` int, many boolean")
     repeated = report.repartition(partitions_for(total, REPORT_BYTES), "gram").mapInArrow(_repeated(block), f"`{block}` int, gram long")
     sent = (
-        blocks.groupBy(block).cogroup(repeated.groupBy(block))
-        .applyInArrow(_send(block), f"gram long, low tinyint, high tinyint, around binary, class long, doc long, many boolean, `{block}` int")
+        blocks.groupBy(block).cogroup(with_copies(repeated).groupBy(block))
+        .applyInArrow(_send(block, mark), f"gram long, range smallint, beside binary, doc long, `{block}` int")
     )
     matched = sent.repartition(partitions_for(total, MATCH_BYTES), "gram").mapInArrow(_match(block), f"`{block}` int, gram long, class long, least long, mask long")
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
     if not rewrite:
         schema += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return blocks.groupBy(block).cogroup(matched.groupBy(block)).applyInArrow(_cut(columns, rewrite), schema)
+    return blocks.groupBy(block).cogroup(with_copies(matched).groupBy(block)).applyInArrow(_cut(columns, rewrite, mark), schema)
