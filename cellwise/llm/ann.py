@@ -167,11 +167,13 @@ def _exactly(queries: list[tuple[int, list[float]]], codes: Codes, count: int):
     """The best of each batch for a bounded list of queries, by looking at every row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not queries:
+            return
         wanted = np.array([q[1] for q in queries])
         own = codes.of(wanted)
         for batch in batches:
             ids, vectors = batch["vec_id"].to_numpy(), _matrix(batch["embedding"])
-            if not len(ids) or not len(queries):
+            if not len(ids):
                 continue
             there, scores, found = codes.of(vectors), wanted @ vectors.T, []
             for k, (query, _) in enumerate(queries):

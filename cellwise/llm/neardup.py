@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
     final = every.withColumnRenamed("node", "id")
     shared = classes.filter("members > 1").select("set_digest", "id")
-    named = signed.join(shared, "set_digest", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id"))
+    named = signed.join(shared, "set_digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("id"))
     return named.join(final, "id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"),
         F.coalesce(F.coalesce("component", "id") == F.col("doc_id"), F.lit(True)).alias("kept"),
