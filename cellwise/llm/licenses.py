@@ -84,23 +84,24 @@ class Settings:
     ridge: float = 1e-3
     least: float = 0.5  # probability below which the class is unknown
     confirm: float = 0.8  # share of a template's words the paragraph must hold
-    plain: int = 500  # paragraphs of the corpus, without keywords, among the training rows
+    plain: int = 500  # training rows that stand for paragraphs without keywords
+    iterations: int = 60
 
 
 def words(text: str | Column) -> Column:
     """Lower-case words of letters, digits, dots and hyphens inside them."""
-    parts = F.split(F.lower(F.col(text) if isinstance(text, str) else text), r"[^a-z0-9.\-]+")
-    return F.filter(F.transform(parts, lambda w: F.regexp_replace(w, r"^[.\-]+|[.\-]+$", "")), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit(r"[a-z0-9]+(?:[.\-]+[a-z0-9]+)*"), F.lit(0))
 
 
 def ngrams(tokens: str, sizes: tuple[int, ...]) -> Column:
     """Distinct n-grams of a word array."""
-    lists = []
-    for n in sizes:
+
+    def of(n: int) -> Column:
         count = F.size(tokens) - (n - 1)
         starts = F.when(count >= 1, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        lists.append(F.transform(starts, lambda k, n=n: F.array_join(F.slice(tokens, k, n), " ")))
-    return F.array_distinct(F.concat(*lists))
+        return F.transform(starts, lambda k: F.array_join(F.slice(tokens, k, n), " "))
+
+    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
 
 
 def _templates(spark: SparkSession) -> DataFrame:
@@ -114,19 +115,18 @@ def keywords(spark: SparkSession) -> list[str]:
     return [r[0] for r in rows]
 
 
-def training(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(family, tokens, fold): templates whole and with each word left out, inside other words,
-    decoys, and a bounded number of the corpus' own paragraphs without keywords."""
-    spark = docs.sparkSession
+def training(spark: SparkSession, settings: Settings) -> DataFrame:
+    """(family, tokens, fold): templates whole, with each word left out and inside other words,
+    decoys, and paragraphs without keywords. These have no n-gram, whatever they say, so rows
+    without words stand for them."""
     whole = _templates(spark).select("family", "tokens")
     less = whole.withColumn("gone", F.explode(F.sequence(F.lit(1), F.size("tokens")))).select("family", F.expr("filter(tokens, (w, k) -> k + 1 <> gone)").alias("tokens"))
     decoys = spark.createDataFrame([(UNKNOWN, d) for d in DECOYS], "family string, notice string").select("family", words("notice").alias("tokens"))
     rest = decoys.withColumn("gone", F.explode(F.sequence(F.lit(1), F.size("tokens")))).select("family", F.expr("filter(tokens, (w, k) -> k + 1 <> gone)").alias("tokens"))
     inside = whole.select("family", F.concat(F.split(F.lit("notes about files here"), " "), "tokens", F.split(F.lit("see below"), " ")).alias("tokens"))
-    plain = paragraphs(docs).select(words("paragraph").alias("tokens")).filter(~F.exists("tokens", lambda w: w.isin(keywords(spark))))
-    plain = plain.orderBy(F.xxhash64("tokens"), F.array_join("tokens", " ")).limit(settings.plain).select(F.lit(UNKNOWN).alias("family"), "tokens")
+    plain = spark.range(settings.plain).select(F.lit(UNKNOWN).alias("family"), F.array().cast("array<string>").alias("tokens"))
     rows = whole.unionByName(less).unionByName(decoys).unionByName(rest).unionByName(inside).unionByName(plain)
-    return rows.withColumn("fold", F.pmod(F.xxhash64("family", "tokens"), F.lit(5)))
+    return rows.withColumn("fold", F.pmod(F.xxhash64("family", "tokens"), F.lit(5))).coalesce(1)
 
 
 @dataclass(frozen=True)
@@ -140,12 +140,11 @@ class Model:
     words: list[str]
 
 
-def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
-    """Train on four folds, set the temperature on the fifth."""
-    spark = docs.sparkSession
+def fit(spark: SparkSession, settings: Settings = Settings()) -> Model:
+    """Train on four folds of a few hundred rows, set the temperature on the fifth."""
     known = keywords(spark)
     has_keyword = lambda g: F.exists(F.split(g, " "), lambda w: w.isin(known))
-    rows = freeze(training(docs, settings).withColumn("grams", F.filter(ngrams("tokens", settings.grams), has_keyword)))
+    rows = freeze(training(spark, settings).withColumn("grams", F.filter(ngrams("tokens", settings.grams), has_keyword)))
     taken = rows.filter(F.col("family") != UNKNOWN).select(F.explode("grams").alias("gram")).distinct().orderBy("gram").collect()
     vocabulary = [r[0] for r in taken]  # bounded by the templates
     classes = [UNKNOWN, *TEMPLATES]
@@ -159,7 +158,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     total = rows.count()
     shares = {r[0]: total / (len(classes) * r[1]) for r in weighted.collect()}
     weight = F.coalesce(*[F.when(F.col("label") == k, F.lit(v)) for k, v in shares.items()])
-    fitted = LogisticRegression(family="multinomial", regParam=settings.ridge, standardization=False, maxIter=60, weightCol="weight").fit(vectors.withColumn("weight", weight).filter("fold <> 0"))
+    fitted = LogisticRegression(family="multinomial", regParam=settings.ridge, standardization=False, maxIter=settings.iterations, weightCol="weight").fit(vectors.withColumn("weight", weight).filter("fold <> 0"))
     matrix = fitted.coefficientMatrix.toArray()
     weights = spark.createDataFrame([(g, [float(x) for x in matrix[:, k]]) for k, g in enumerate(vocabulary)], "gram string, w array<double>")
     model = Model(classes, [float(x) for x in fitted.interceptVector], weights, 1.0, known)
@@ -198,14 +197,14 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return lines.filter(F.trim("paragraph") != "")
 
 
-def scan(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def scan(docs: DataFrame, settings: Settings = Settings(), model: Model | None = None) -> DataFrame:
     """(doc_id, at, family, probability, similarity) of every confirmed notice.
 
-    ``at`` is the line, from 0. Equal lines are scored once, however many documents hold
+    Without a ``model`` one is trained first. ``at`` is the line, from 0. Equal lines are scored once, however many documents hold
     them, and joined back. Null and empty texts have no paragraph.
     """
     spark = docs.sparkSession
-    model = fit(docs, settings)
+    model = model or fit(spark, settings)
     tokens = paragraphs(docs).withColumn("tokens", words("paragraph")).drop("paragraph")
     some = freeze(tokens.filter(F.exists("tokens", lambda w: w.isin(model.words))))
     lines = some.select("tokens").distinct().withColumn("line", F.sha2(F.array_join("tokens", " "), 256)).withColumn("grams", ngrams("tokens", settings.grams))
@@ -220,13 +219,13 @@ def scan(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return some.join(broadcast_checked(freeze(sure)), "tokens").select("doc_id", "at", "family", "probability", "similarity")
 
 
-def documents_with(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def documents_with(docs: DataFrame, settings: Settings = Settings(), model: Model | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, families (sorted, joined by commas), notices, probability.
 
     Without notices: an empty string, 0 and null. Rows that repeat a doc_id share the result
     of all their texts. Other columns are ignored. An empty table gives an empty table.
     """
-    found = scan(docs.select("doc_id", "text"), settings)
+    found = scan(docs.select("doc_id", "text"), settings, model)
     each = found.groupBy("doc_id").agg(
         F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count(F.lit(1)).alias("notices"), F.min("probability").alias("probability")
     )
