@@ -11,31 +11,56 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import freeze, numbered, scalar
+from cellwise.llm.common import freeze, numbered, scalar, ship
+
+_loaded: dict = {}  # tokenizers of this worker, by path
 
 
 @dataclass(frozen=True)
 class Settings:
     """``longest``: tokens of a sequence; longer texts are cut into pieces of it, none is lost.
 
-    ``unit``: bytes (byte-level tokens) or words. ``extra``: tokens added to every text.
+    ``unit``: bytes (byte-level tokens), words or tokenizer. ``tokenizer``: for the last, the
+    path of a tokenizer file (JSON), which every executor must have, as it has its Python.
+    ``extra``: tokens added to every text.
     """
 
     buckets: int = 16
     longest: int = 4096
     budget: int = 65_536
     unit: str = "bytes"
+    tokenizer: str | None = None
     extra: int = 1
 
 
+def _lengths(path: str):
+    @F.arrow_udf("long")
+    def lengths(texts: pa.Array) -> pa.Array:
+        from tokenizers import Tokenizer
+
+        if path not in _loaded:
+            _loaded[path] = Tokenizer.from_file(path)
+            _loaded[path].encode_special_tokens = True  # their strings in a text are ordinary text
+        counts: list[int] = []
+        for k in range(0, len(texts), 64):
+            part = [t or "" for t in texts.slice(k, 64).to_pylist()]
+            counts += [len(e.ids) for e in _loaded[path].encode_batch_fast(part, add_special_tokens=False)]
+        return pa.array(counts, pa.int64())
+
+    return lengths
+
+
 def token_count(text: str | Column, settings: Settings) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     if settings.unit == "words":
         words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
         return F.when(text.isNull(), F.lit(0)).otherwise(words).cast("long") + settings.extra
+    if settings.unit == "tokenizer":
+        return _lengths(settings.tokenizer)(text) + settings.extra
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + settings.extra
 
 
@@ -72,7 +97,7 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
 
 def pieces(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row for each piece of at most ``longest`` tokens: doc_id, piece, n_tokens."""
-    whole = docs.select("doc_id", token_count(F.col("text").cast("string"), settings).alias("tokens"))
+    whole = ship(docs).select("doc_id", token_count(F.col("text").cast("string"), settings).alias("tokens"))
     last = F.expr(f"greatest((tokens - 1) div {settings.longest}, 0)")
     cut = whole.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     return cut.select("doc_id", F.col("piece").cast("int").alias("piece"), F.least(F.lit(settings.longest), F.col("tokens") - F.col("piece") * settings.longest).cast("int").alias("n_tokens"))

@@ -1,5 +1,6 @@
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -53,6 +54,22 @@ def test_documents(spark, unit):
     assert {r.padded_tokens for r in found} == set(ends)
 
 
+def test_tokenizer_file(spark):
+    path = Path("/opt/tokenizers/byte_bpe_50k.json")
+    if not path.exists():
+        pytest.skip("no tokenizer file")
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(str(path))
+    known.encode_special_tokens = True
+    rows = [r for r in awkward_documents() if r[0] not in (50, 52)] + [(60, "a <|endoftext|> b")]
+    found = packing.pack(frame(spark, rows), packing.Settings(longest=200, unit="tokenizer", tokenizer=str(path))).collect()
+    got = Counter()
+    for r in found:
+        got[r.doc_id] += r.n_tokens
+    assert got == {i: len(known.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in rows}
+
+
 def test_empty_table(spark):
     assert packing.pack(frame(spark, []).limit(0)).count() == 0
 
