@@ -39,7 +39,7 @@ class Settings:
     cover: float = 0.97
     rounds: int = 30
     shard_rows: int = 16_384
-    query_rows: int = 4_096
+    query_rows: int = 16_384
     seed: int = 7
 
 
