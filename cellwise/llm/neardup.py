@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     Skipped pairs are those already connected, so no component changes.
 
     Null or empty texts: no shingles, own component. Repeated rows with one doc_id are
-    listed as often as they occur. A null doc_id: component_id null, kept true. Other
+    listed as often as they occur; a doc_id names one text. A null doc_id: component_id null, kept true. Other
     columns of ``docs`` are ignored.
     """
     signed = freeze(signatures(ship(docs), settings))
