@@ -22,12 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellwise.llm.common import freeze, ship
+from cellwise.llm.common import freeze, partitions_for, scalar, ship
 from cellwise.session import broadcast_checked, scratch_path
 
 LEAST_REVISIT = 100
 RANGE_ROWS = 50_000
-READ_BYTES = 16 << 20
+READ_BYTES = 8 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = "urn:page:"
 
@@ -243,8 +243,9 @@ def _reading(folder: str):
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """Every indexed record read back, each archive in the order of its bytes, in parts of bounded size."""
+    total = scalar(index.agg(F.coalesce(F.sum("bytes"), F.lit(0))))
     part = F.expr(f"at div {READ_BYTES}")
-    rows = index.select("run", "at", "bytes", "position", "key").repartition(F.col("run"), part).sortWithinPartitions("run", "at")
+    rows = index.select("run", "at", "bytes", "position", "key").repartition(partitions_for(total, READ_BYTES), F.col("run"), part).sortWithinPartitions("run", "at")
     return rows.mapInArrow(_reading(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, position long, url_key string")
 
 
