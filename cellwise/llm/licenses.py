@@ -12,7 +12,6 @@ paragraphs are left out before n-grams are built, which changes no result.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
