@@ -79,7 +79,7 @@ def _collect(s: Settings):
         sums = np.zeros((s.rows, s.size + 1), np.int64)
         for batch in batches:
             data, offsets = X.utf8(batch["text"])
-            for a, b in X.runs(offsets):
+            for a, b in X.runs(offsets, 2 * X.SLICE_BYTES):
                 context_sums(data, offsets[a : b + 1], s, sums)
         parts = np.split(sums, s.chunks)
         packed = [(p if np.abs(p).max() >= 1 << 31 else p.astype(np.int32)).tobytes() for p in parts]

@@ -41,7 +41,7 @@ AROUND = LENGTH + SIDE
 BLOCK_BYTES = 8 << 20
 REPORT_BYTES = 32 << 20  # text bytes whose anchors one partition of step 1 reads
 MATCH_BYTES = 12 << 20
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 SUFFIXES_AT_ONCE = 150_000
 
 
