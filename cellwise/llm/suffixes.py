@@ -38,11 +38,11 @@ LENGTH = 50
 GRAM = 20
 SIDE = LENGTH - GRAM  # windows that may name one anchor start up to SIDE bytes before it
 AROUND = LENGTH + SIDE
-BLOCK_BYTES = 8 << 20
-REPORT_BYTES = 32 << 20  # text bytes whose anchors one partition of step 1 reads
-MATCH_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
+REPORT_BYTES = 12 << 20  # text bytes whose anchors one partition of step 1 reads
+MATCH_BYTES = 4 << 20
 RUN_BYTES = 1 << 18
-SUFFIXES_AT_ONCE = 150_000
+SUFFIXES_AT_ONCE = 50_000
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
