@@ -1,4 +1,6 @@
 import random
+import shutil
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from cellwise.llm import quality
 from helpers import awkward_documents, sentence
 from test_decontam import brute as contaminated
 from test_neardup import brute as grouped
+from test_neardup import shingles as word_shingles
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -89,3 +92,31 @@ def test_each_stage_against_brute_force(spark, folder):
 def test_run(spark, folder):
     packed = corpus_pipeline.run(spark, folder)
     assert packed.count() > 0 and {"doc_id", "bucket", "batch", "slot"} <= set(packed.columns)
+
+
+def test_near_copies_from_four_fifths_on(spark, folder):
+    """Pairs that share 80 of 100, 91 of 109 and 79 of 99 shingles: only the last stays a pair."""
+    rows = []
+    for k, (shingles, changed) in enumerate([(90, 10), (100, 9), (89, 10)]):
+        words = [f"w{k}x{j}" for j in range(shingles + 4)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-changed] + [f"n{k}x{j}" for j in range(changed)]))]
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), folder)
+    assert {r.doc_id for r in left.collect()} == {0, 2, 4, 5}
+
+
+def four_fifths(rows):
+    """As test_neardup.brute, with links from a similarity of 0.8 on."""
+    sets = {i: word_shingles(t) for i, t in rows}
+    label = {i: i for i in sets}
+    for a, b in combinations(sorted(sets), 2):
+        if sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((label[a], label[b]))
+            label = {i: x if c == y else c for i, c in label.items()}
+    return sorted((i, len(sets[i]), label[i], label[i] == i) for i, _ in rows)
+
+
+def test_each_stage_with_links_from_four_fifths_on(spark, folder, tmp_path, monkeypatch):
+    """The stages against brute force at the threshold of the stage instead of op10's."""
+    shutil.copytree(folder, tmp_path / "in", ignore=shutil.ignore_patterns("stage-*"))
+    monkeypatch.setitem(globals(), "grouped", four_fifths)
+    test_each_stage_against_brute_force(spark, str(tmp_path / "in"))
