@@ -1,17 +1,20 @@
 """Licence notices: a trained paragraph classifier, confirmed against templates.
 
-Only DataFrame functions and Spark ML. Paragraphs (lines) become sets of word n-grams over a
+Only DataFrame functions and Spark ML. Paragraphs become sets of word n-grams over a
 vocabulary that the templates fix; a multinomial logistic regression gives each licence
 family and the class ``unknown`` a probability, calibrated by a temperature. A predicted
 family counts only if the paragraph also holds most of the words of one of its templates.
 
-Every n-gram of the vocabulary contains a keyword. A paragraph without any keyword has no
-n-gram at all, so its score is the model's intercept, which says ``unknown``: such
-paragraphs are left out before n-grams are built, which changes no result.
+Paragraphs are single lines, and stretches of words over several lines of a run of non-blank
+lines, as long as a template and a quarter more, so that wrapped notices are whole. As a
+family counts only with most words of a template, paragraphs that hold no template's are
+left out before n-grams are built, which changes no result.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -23,6 +26,7 @@ from cellwise.llm.common import freeze
 from cellwise.session import broadcast_checked
 
 UNKNOWN = "unknown"
+WORD = r"[a-z0-9]+(?:[.\-]+[a-z0-9]+)*"
 
 # Short notices by which works name their licence, by family.
 TEMPLATES = {
@@ -87,9 +91,14 @@ class Settings:
     iterations: int = 60
 
 
+def _holds(template: str, tokens: str, settings: Settings) -> Column:
+    """Whether a word array has the share of a template's words that confirms it."""
+    return F.size(F.array_intersect(template, tokens)) >= settings.confirm * F.size(F.array_distinct(template))
+
+
 def words(text: str | Column) -> Column:
     """Lower-case words of letters, digits, dots and hyphens inside them."""
-    return F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit(r"[a-z0-9]+(?:[.\-]+[a-z0-9]+)*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit(WORD), F.lit(0))
 
 
 def ngrams(tokens: str, sizes: tuple[int, ...]) -> Column:
@@ -108,6 +117,11 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, template string, notice string").withColumn("tokens", words("notice"))
 
 
+def _sizes() -> list[int]:
+    """The number of distinct words of every template."""
+    return [len(set(re.findall(WORD, text.lower()))) for texts in TEMPLATES.values() for text in texts]
+
+
 def keywords(spark: SparkSession) -> list[str]:
     """The words of the templates that are no stop words."""
     rows = _templates(spark).select(F.explode("tokens").alias("w")).filter(~F.col("w").isin(STOPWORDS)).distinct().orderBy("w").collect()
@@ -196,16 +210,63 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return lines.filter(F.trim("paragraph") != "")
 
 
+def runs(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, run, tokens, line_of) of every run of non-blank lines: its words in order
+    and the line, from 0, of each word. ``row`` tells rows apart that share a doc_id."""
+    lines = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.split(F.col("text").cast("string"), r"\r\n|\r|\n").alias("lines")).filter("lines IS NOT NULL")
+    blanks = F.filter(F.transform("lines", lambda x, k: F.when(F.trim(x) == "", k)), lambda k: k.isNotNull())
+    cut = lines.withColumn("cuts", F.concat(F.array(F.lit(-1)), blanks, F.array(F.size("lines"))))
+    spans = F.transform(F.slice("cuts", F.lit(1), F.size("cuts") - 1), lambda c, k: F.struct((c + 1).alias("run"), F.slice("lines", c + 2, F.get("cuts", k + 1) - c - 1).alias("lines")))
+    each = cut.select("row", "doc_id", F.explode(F.filter(spans, lambda r: F.size(r["lines"]) > 0)).alias("r")).select("row", "doc_id", "r.run", F.transform("r.lines", lambda x: words(x)).alias("by_line"))
+    numbers = F.flatten(F.transform("by_line", lambda x, k: F.transform(x, lambda _: F.col("run") + k)))
+    return each.select("row", "doc_id", "run", F.flatten("by_line").alias("tokens"), numbers.alias("line_of"))
+
+
+def candidates(docs: DataFrame, settings: Settings) -> DataFrame:
+    """(row, doc_id, at, first, last, wrapped, tokens): lines and stretches over lines
+    that hold most words of a template; ``first`` and ``last`` are places in the run's words."""
+    spark = docs.sparkSession
+    texts = _templates(spark).select(F.col("tokens").alias("template"))
+    known = [r[0] for r in texts.select(F.explode("template").alias("w")).distinct().orderBy("w").collect()]
+    some = docs.withColumn("held", F.array_intersect(words(F.col("text").cast("string")), F.array(*[F.lit(w) for w in known])))
+    enough = min(math.ceil(settings.confirm * n) for n in _sizes())
+    found = runs(some.filter(F.size("held") >= enough).select("doc_id", "text"))
+    held = found.withColumn("held", F.array_intersect("tokens", F.array(*[F.lit(w) for w in known])))
+    met = freeze(held.join(F.broadcast(texts), _holds("template", "held", settings)).drop("held"))
+
+    keys = ["row", "doc_id", "run"]
+    each = met.select(*keys, "tokens", "line_of", "template", F.explode(F.array_distinct("line_of")).alias("at"))
+    each = each.withColumn("first", F.array_position("line_of", F.col("at")).cast("int")).withColumn("n", F.size(F.filter("line_of", lambda x: x == F.col("at"))))
+    each = each.withColumn("line", F.slice("tokens", F.col("first"), F.col("n"))).filter(_holds("template", "line", settings))
+    lines = each.select(*keys, "at", "first", (F.col("first") + F.col("n") - 1).alias("last"), F.lit(False).alias("wrapped"), F.col("line").alias("tokens")).distinct()
+
+    size = F.size("template")
+    long = met.filter(F.element_at("line_of", -1) > F.element_at("line_of", 1)).withColumn("width", size)
+    score = F.transform(F.sequence(F.lit(1), F.size("tokens")), lambda k: F.struct(k.alias("k"), F.size(F.array_intersect("template", F.slice("tokens", k, F.col("width")))).alias("n")))
+    fits = F.filter(score, lambda x: x["n"] >= settings.confirm * F.size(F.array_distinct("template")))
+    kept = lambda acc: F.get(acc, F.size(acc) - 1)
+    apart = F.aggregate(  # of stretches that meet, the first with the most words of the template
+        fits, F.array().cast("array<struct<k:int,n:int>>"),
+        lambda acc, x: F.when((F.size(acc) == 0) | (x["k"] >= kept(acc)["k"] + F.col("width")), F.concat(acc, F.array(x)))
+        .when(x["n"] > kept(acc)["n"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(x))).otherwise(acc),
+    )
+    wide = long.withColumn("first", F.explode(F.transform(apart, lambda x: x["k"]))).withColumn("last", F.least(F.size("tokens"), F.col("first") + F.col("width") - 1))
+    wide = wide.withColumn("at", F.get("line_of", F.col("first") - 1)).filter(F.get("line_of", F.col("last") - 1) > F.col("at"))
+    stretches = wide.select(*keys, "at", "first", "last", F.lit(True).alias("wrapped"), F.slice("tokens", F.col("first"), F.ceil(F.col("width") * 1.25).cast("int")).alias("tokens")).distinct()
+    return lines.unionByName(stretches)
+
+
 def scan(docs: DataFrame, settings: Settings = Settings(), model: Model | None = None) -> DataFrame:
     """(doc_id, at, family, probability, similarity) of every confirmed notice.
 
-    Without a ``model`` one is trained first. ``at`` is the line, from 0. Equal lines are scored once, however many documents hold
-    them, and joined back. Null and empty texts have no paragraph.
+    Without a ``model`` one is trained first. ``at`` is the line, from 0, on which the paragraph
+    begins. Equal paragraphs are scored once, however many documents hold them, and joined
+    back. A stretch over lines counts where it shares no word with a notice of its family
+    that was found on one line or began before it. Null and empty texts have no paragraph.
     """
     spark = docs.sparkSession
     model = model or fit(spark, settings)
-    tokens = paragraphs(docs).withColumn("tokens", words("paragraph")).drop("paragraph")
-    some = freeze(tokens.filter(F.exists("tokens", lambda w: w.isin(model.words))))
+    some = freeze(candidates(docs, settings))
     lines = some.select("tokens").distinct().withColumn("line", F.sha2(F.array_join("tokens", " "), 256)).withColumn("grams", ngrams("tokens", settings.grams))
     scored = logits(lines, model, ["line", "tokens"])
     top = F.array_max("z")
@@ -215,7 +276,14 @@ def scan(docs: DataFrame, settings: Settings = Settings(), model: Model | None =
     texts = F.broadcast(_templates(spark).select("family", F.array_distinct("tokens").alias("template")))
     compared = likely.join(texts, "family").withColumn("similarity", F.size(F.array_intersect("tokens", "template")) / F.size("template"))
     sure = compared.groupBy("line", "tokens", "family", "probability").agg(F.max("similarity").alias("similarity")).filter(F.col("similarity") >= settings.confirm)
-    return some.join(broadcast_checked(freeze(sure)), "tokens").select("doc_id", "at", "family", "probability", "similarity")
+    found = some.join(broadcast_checked(freeze(sure)), "tokens")
+    ordered = F.array_sort(F.collect_list(F.struct("wrapped", "first", "last", "at", "probability", "similarity")))
+    together = found.groupBy("row", "doc_id", "run", "family").agg(ordered.alias("each"))
+    alone = F.aggregate(
+        "each", F.slice("each", 1, 0),
+        lambda acc, x: F.when(x["wrapped"] & F.exists(acc, lambda y: (y["first"] <= x["last"]) & (x["first"] <= y["last"])), acc).otherwise(F.concat(acc, F.array(x))),
+    )
+    return together.select("doc_id", "family", F.explode(alone).alias("x")).select("doc_id", "x.at", "family", "x.probability", "x.similarity")
 
 
 def documents_with(docs: DataFrame, settings: Settings = Settings(), model: Model | None = None) -> DataFrame:

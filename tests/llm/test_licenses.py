@@ -76,3 +76,26 @@ def test_empty_table(spark, model):
 def test_no_python_in_the_plan(spark, case, model):
     plan = licenses.documents_with(frame(spark, case), SETTINGS, model)._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow", "Cartesian"))
+
+
+def test_wrapped_notices(spark, model):
+    """Notices over several lines, in comments and beside text, and two wrapped ones in one run."""
+    import textwrap
+
+    mit, bsd, gpl = licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["BSD-3-Clause"][1], licenses.TEMPLATES["GPL-3.0"][1]
+    wrapped = {k: "\n".join(textwrap.wrap(t, w)) for k, t, w in (("mit", mit, 80), ("bsd", bsd, 60), ("gpl", gpl, 72))}
+    narrow = "\n".join(mit.split(" "))
+    rows = [
+        (1, wrapped["mit"]),
+        (2, "import os\n# " + wrapped["bsd"].replace("\n", "\n# ") + "\nriver stone light\n\nmore"),
+        (3, wrapped["gpl"].replace("\n", "\r\n")),
+        (4, wrapped["mit"] + "\n" + wrapped["bsd"]),
+        (5, "Released under the\nMIT License.\n\nReleased under the MIT License."),
+        (6, narrow),
+        (7, wrapped["mit"].replace("\n", "\n\n")),  # blank lines end a paragraph
+        (8, None),
+        (9, f"{wrapped['mit']}\n{wrapped['mit']}"),
+        (10, f"Released under the MIT License.\n{wrapped['mit']}"),
+    ]
+    found = {r.doc_id: (r.families, r.notices) for r in licenses.documents_with(frame(spark, rows), SETTINGS, model).collect()}
+    assert found == {1: ("MIT", 1), 2: ("BSD-3-Clause", 1), 3: ("GPL-3.0", 1), 4: ("BSD-3-Clause,MIT", 2), 5: ("MIT", 2), 6: ("MIT", 1), 7: ("", 0), 8: ("", 0), 9: ("MIT", 2), 10: ("MIT", 2)}
