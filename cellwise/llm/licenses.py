@@ -3,7 +3,8 @@
 Only DataFrame functions and Spark ML. Paragraphs become sets of word n-grams over a
 vocabulary that the templates fix; a multinomial logistic regression gives each licence
 family and the class ``unknown`` a probability, calibrated by a temperature. A predicted
-family counts only if the paragraph also holds most of the words of one of its templates.
+family counts only if the paragraph also holds most of the words of one of its templates and
+those that tell it from other licences and versions (DECIDING).
 
 Paragraphs are single lines, and stretches of words over several lines of a run of non-blank
 lines, as long as a template and a quarter more, so that wrapped notices are whole. As a
@@ -26,6 +27,8 @@ from cellwise.llm.common import freeze
 from cellwise.session import broadcast_checked
 
 UNKNOWN = "unknown"
+#: Words after a paragraph in which another version may be named ("... as published by ..., either version 2").
+AFTER = 16
 WORD = r"[a-z0-9]+(?:[.\-]+[a-z0-9]+)*"
 
 # Short notices by which works name their licence, by family.
@@ -78,6 +81,50 @@ DECOYS = [
     "The conditions are met when both files are present.",
     "Creative people share their work in the commons room.",
 ]
+# Notices of other licences and versions, trained as unknown.
+OTHERS = [
+    "This work is licensed under the GNU General Public License, version 2.",
+    "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "This work is licensed under the GNU Affero General Public License, version 3.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License.",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "Licensed under CC BY-SA 4.0.",
+    "Licensed under CC BY-ND 4.0.",
+    "Licensed under CC BY-NC-SA 4.0.",
+    "Licensed under the Apache License, Version 1.1.",
+    "Licensed under the BSD 2-Clause License.",
+    "Licensed under the Mozilla Public License, version 1.1.",
+]
+
+
+def _any(*alternatives: str) -> str:
+    """A regex for one of ``alternatives``, each whole words of a text of words and blanks."""
+    return rf"(?<!\S)(?:{'|'.join(alternatives)})(?!\S)"
+
+
+_TWO = _any(r"(?:general public licen[cs]e|gpl|either) (?:v|version )2(?:\.0)?")
+_THREE = _any("3", r"3\.0", "v3", r"v3\.0", "gplv3", r"gpl-v?3(?:\.0)?\S*")
+_LESSER = _any("(?:lesser|library|affero) general", r"[al]gpl\S*")
+_FOUR = _any(r"(?:\S*-)?v?4(?:\.0)?")
+_NC, _SA, _ND = (_any(*x) for x in (
+    (r"(?:\S+-)?nc(?:-\S+)?", r"(?:\S+-)?non-?commercial(?:-\S+)?", "non commercial"),
+    (r"(?:\S+-)?sa(?:-\S+)?", r"(?:\S+-)?share-?alike(?:-\S+)?", "share alike"),
+    (r"(?:\S+-)?nd(?:-\S+)?", r"(?:\S+-)?no-?deriv\S*", r"no deriv\S*"),
+))
+# By family, what the words of a paragraph must all match, and what they must not.
+DECIDING = {
+    "MIT": ([_any("mit", "charge", "granted")], []),
+    "Apache-2.0": ([_any(r"apache\S*"), _any(r"(?:\S*-)?v?2(?:\.0)?", "compliance")], [_any(r"license,? (?:v|version )?1(?:\.[01])?", r"apache (?:v|version )?1(?:\.[01])?", r"apache-1\S*")]),
+    "GPL-3.0": ([_any("general", r"gpl\S*"), f"(?:{_THREE}|{_any('redistribute', 'modify')})"], [_LESSER]),
+    "BSD-3-Clause": ([_any(r"(?:bsd-)?3-clause", "redistribution", "permitted", "forms")], [_any(r"(?:bsd-)?[0124]-clause")]),
+    "MPL-2.0": ([_any("mozilla", r"mpl\S*"), _any(r"(?:\S*-)?v?2(?:\.0)?")], []),
+    "CC-BY-4.0": ([_any(r"(?:cc-)?by(?:-4\.0)?", "attribution"), _FOUR], [_NC, _SA, _ND]),
+    "CC-BY-NC-4.0": ([_NC, _FOUR], [_SA, _ND]),
+}
 STOPWORDS = "a all and any are as by can each except for form forms free from has have hereby if in into is it its may met most must no not of on or other that the their they this to under use used using was were will with without you your following person provided".split()
 
 
@@ -112,6 +159,22 @@ def ngrams(tokens: str, sizes: tuple[int, ...]) -> Column:
     return F.array_distinct(F.concat(*[of(n) for n in sizes]))
 
 
+def decided(family: str, tokens: str, context: str | None = None) -> Column:
+    """Whether a word array has what tells ``family`` (a column) from other licences and
+    versions. A GPL header names its version only in the words after it (``context``)."""
+    said, around = F.array_join(tokens, " "), F.array_join(context or tokens, " ")
+    second = around.rlike(_TWO) & ~around.rlike(_THREE)
+    rules = F.lit(False)
+    for name, (needs, bars) in DECIDING.items():
+        rule = F.lit(True)
+        for need in needs:
+            rule &= said.rlike(need)
+        for bar in bars:
+            rule &= ~said.rlike(bar)
+        rules = F.when(F.col(family) == name, rule & ~second if name == "GPL-3.0" else rule).otherwise(rules)
+    return rules
+
+
 def _templates(spark: SparkSession) -> DataFrame:
     rows = [(family, f"{family}/{k}", text) for family, texts in TEMPLATES.items() for k, text in enumerate(texts)]
     return spark.createDataFrame(rows, "family string, template string, notice string").withColumn("tokens", words("notice"))
@@ -123,23 +186,26 @@ def _sizes() -> list[int]:
 
 
 def keywords(spark: SparkSession) -> list[str]:
-    """The words of the templates that are no stop words."""
-    rows = _templates(spark).select(F.explode("tokens").alias("w")).filter(~F.col("w").isin(STOPWORDS)).distinct().orderBy("w").collect()
+    """The words of the templates and of other licences that are no stop words."""
+    others = spark.createDataFrame([(t,) for t in OTHERS], "notice string").select(words("notice").alias("tokens"))
+    rows = _templates(spark).select("tokens").unionByName(others).select(F.explode("tokens").alias("w")).filter(~F.col("w").isin(STOPWORDS)).distinct().orderBy("w").collect()
     return [r[0] for r in rows]
 
 
 def training(spark: SparkSession, settings: Settings) -> DataFrame:
-    """(family, tokens, fold): templates whole, with each word left out and inside other words,
-    decoys, and paragraphs without keywords. These have no n-gram, whatever they say, so rows
-    without words stand for them."""
+    """(family, tokens, fold): templates whole, with each word left out (unknown, if it was a
+    deciding one) and inside other words, decoys, notices of other licences, and paragraphs
+    without keywords. These have no n-gram, whatever they say, so rows without words stand
+    for them, dealt over the folds by number."""
     whole = _templates(spark).select("family", "tokens")
     less = whole.withColumn("gone", F.explode(F.sequence(F.lit(1), F.size("tokens")))).select("family", F.expr("filter(tokens, (w, k) -> k + 1 <> gone)").alias("tokens"))
-    decoys = spark.createDataFrame([(UNKNOWN, d) for d in DECOYS], "family string, notice string").select("family", words("notice").alias("tokens"))
+    less = less.withColumn("family", F.when(decided("family", "tokens"), F.col("family")).otherwise(UNKNOWN))
+    decoys = spark.createDataFrame([(UNKNOWN, d) for d in DECOYS + OTHERS], "family string, notice string").select("family", words("notice").alias("tokens"))
     rest = decoys.withColumn("gone", F.explode(F.sequence(F.lit(1), F.size("tokens")))).select("family", F.expr("filter(tokens, (w, k) -> k + 1 <> gone)").alias("tokens"))
     inside = whole.select("family", F.concat(F.split(F.lit("notes about files here"), " "), "tokens", F.split(F.lit("see below"), " ")).alias("tokens"))
-    plain = spark.range(settings.plain).select(F.lit(UNKNOWN).alias("family"), F.array().cast("array<string>").alias("tokens"))
-    rows = whole.unionByName(less).unionByName(decoys).unionByName(rest).unionByName(inside).unionByName(plain)
-    return rows.withColumn("fold", F.pmod(F.xxhash64("family", "tokens"), F.lit(5))).coalesce(1)
+    rows = whole.unionByName(less).unionByName(decoys).unionByName(rest).unionByName(inside).withColumn("fold", F.pmod(F.xxhash64("family", "tokens"), F.lit(5)))
+    plain = spark.range(settings.plain).select(F.lit(UNKNOWN).alias("family"), F.array().cast("array<string>").alias("tokens"), (F.col("id") % 5).alias("fold"))
+    return rows.unionByName(plain).coalesce(1)
 
 
 @dataclass(frozen=True)
@@ -158,8 +224,10 @@ def fit(spark: SparkSession, settings: Settings = Settings()) -> Model:
     known = keywords(spark)
     has_keyword = lambda g: F.exists(F.split(g, " "), lambda w: w.isin(known))
     rows = freeze(training(spark, settings).withColumn("grams", F.filter(ngrams("tokens", settings.grams), has_keyword)))
-    taken = rows.filter(F.col("family") != UNKNOWN).select(F.explode("grams").alias("gram")).distinct().orderBy("gram").collect()
-    vocabulary = [r[0] for r in taken]  # bounded by the templates
+    others = spark.createDataFrame([(t,) for t in OTHERS], "notice string").select(words("notice").alias("tokens"))
+    named = rows.filter(F.col("family") != UNKNOWN).select("grams").unionByName(others.select(F.filter(ngrams("tokens", settings.grams), has_keyword).alias("grams")))
+    taken = named.select(F.explode("grams").alias("gram")).distinct().orderBy("gram").collect()
+    vocabulary = [r[0] for r in taken]  # bounded by the templates and OTHERS
     classes = [UNKNOWN, *TEMPLATES]
     held = F.array(*[F.lit(g) for g in vocabulary])
     label = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("family")) - 1
@@ -223,8 +291,9 @@ def runs(docs: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(row, doc_id, at, first, last, wrapped, tokens): lines and stretches over lines
-    that hold most words of a template; ``first`` and ``last`` are places in the run's words."""
+    """(row, doc_id, run, at, first, last, wrapped, tokens, context): lines and stretches over
+    lines that hold most words of a template, and what follows them in the run; ``first`` and
+    ``last`` are places in the run's words."""
     spark = docs.sparkSession
     texts = _templates(spark).select(F.col("tokens").alias("template"))
     known = [r[0] for r in texts.select(F.explode("template").alias("w")).distinct().orderBy("w").collect()]
@@ -238,7 +307,7 @@ def candidates(docs: DataFrame, settings: Settings) -> DataFrame:
     each = met.select(*keys, "tokens", "line_of", "template", F.explode(F.array_distinct("line_of")).alias("at"))
     each = each.withColumn("first", F.array_position("line_of", F.col("at")).cast("int")).withColumn("n", F.size(F.filter("line_of", lambda x: x == F.col("at"))))
     each = each.withColumn("line", F.slice("tokens", F.col("first"), F.col("n"))).filter(_holds("template", "line", settings))
-    lines = each.select(*keys, "at", "first", (F.col("first") + F.col("n") - 1).alias("last"), F.lit(False).alias("wrapped"), F.col("line").alias("tokens")).distinct()
+    lines = each.select(*keys, "at", "first", (F.col("first") + F.col("n") - 1).alias("last"), F.lit(False).alias("wrapped"), F.col("line").alias("tokens"), F.slice("tokens", F.col("first"), F.col("n") + AFTER).alias("context")).distinct()
 
     size = F.size("template")
     long = met.filter(F.element_at("line_of", -1) > F.element_at("line_of", 1)).withColumn("width", size)
@@ -252,7 +321,7 @@ def candidates(docs: DataFrame, settings: Settings) -> DataFrame:
     )
     wide = long.withColumn("first", F.explode(F.transform(apart, lambda x: x["k"]))).withColumn("last", F.least(F.size("tokens"), F.col("first") + F.col("width") - 1))
     wide = wide.withColumn("at", F.get("line_of", F.col("first") - 1)).filter(F.get("line_of", F.col("last") - 1) > F.col("at"))
-    stretches = wide.select(*keys, "at", "first", "last", F.lit(True).alias("wrapped"), F.slice("tokens", F.col("first"), F.ceil(F.col("width") * 1.25).cast("int")).alias("tokens")).distinct()
+    stretches = wide.select(*keys, "at", "first", "last", F.lit(True).alias("wrapped"), F.slice("tokens", F.col("first"), F.ceil(F.col("width") * 1.25).cast("int")).alias("tokens"), F.slice("tokens", F.col("first"), F.col("width") + AFTER).alias("context")).distinct()
     return lines.unionByName(stretches)
 
 
@@ -276,7 +345,7 @@ def scan(docs: DataFrame, settings: Settings = Settings(), model: Model | None =
     texts = F.broadcast(_templates(spark).select("family", F.array_distinct("tokens").alias("template")))
     compared = likely.join(texts, "family").withColumn("similarity", F.size(F.array_intersect("tokens", "template")) / F.size("template"))
     sure = compared.groupBy("line", "tokens", "family", "probability").agg(F.max("similarity").alias("similarity")).filter(F.col("similarity") >= settings.confirm)
-    found = some.join(broadcast_checked(freeze(sure)), "tokens")
+    found = some.join(broadcast_checked(freeze(sure)), "tokens").filter(decided("family", "tokens", "context"))
     ordered = F.array_sort(F.collect_list(F.struct("wrapped", "first", "last", "at", "probability", "similarity")))
     together = found.groupBy("row", "doc_id", "run", "family").agg(ordered.alias("each"))
     alone = F.aggregate(

@@ -99,3 +99,24 @@ def test_wrapped_notices(spark, model):
     ]
     found = {r.doc_id: (r.families, r.notices) for r in licenses.documents_with(frame(spark, rows), SETTINGS, model).collect()}
     assert found == {1: ("MIT", 1), 2: ("BSD-3-Clause", 1), 3: ("GPL-3.0", 1), 4: ("BSD-3-Clause,MIT", 2), 5: ("MIT", 2), 6: ("MIT", 1), 7: ("", 0), 8: ("", 0), 9: ("MIT", 2), 10: ("MIT", 2)}
+
+
+def test_other_licences_and_versions_are_unknown(spark, model):
+    header = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version."
+    others = [
+        *licenses.OTHERS, header.format("", "2"), header.format("Lesser ", "3"), header.format("Affero ", "3"), "Released under the License.",
+        "This work is licensed under the GNU General Public License, version.", "Licensed under the Apache License, Version 1.0.", "Licensed under CC BY-NC-ND 4.0.",
+        "Licensed under the Apache License, Version.", "This software is licensed under the GNU General Public License, version.", "Licensed under CC BY 3.0.", "Licensed under the BSD 4-Clause License.",
+    ]
+    known = [(f, t) for f, texts in licenses.TEMPLATES.items() for t in texts] + [("GPL-3.0", header.format("", "3"))]
+    known.append(("Apache-2.0,GPL-3.0", licenses.TEMPLATES["GPL-3.0"][1] + "\nLicensed under the Apache License, Version 2.0."))
+    known.append(("CC-BY-4.0,CC-BY-NC-4.0", "Licensed under CC BY 4.0.\nLicensed under CC BY-NC 4.0."))
+    rows = [(k, t) for k, t in enumerate(others)] + [(1000 + k, t) for k, (_, t) in enumerate(known)]
+    found = {r.doc_id: r.families for r in licenses.documents_with(frame(spark, rows), SETTINGS, model).collect()}
+    assert {t: found[k] for k, t in enumerate(others) if found[k]} == {}
+    assert [(found[1000 + k], t) for k, (_, t) in enumerate(known)] == known
+
+
+def test_plain_rows_are_dealt_over_the_folds(spark):
+    plain = licenses.training(spark, SETTINGS).filter("size(tokens) = 0").groupBy("fold").count().collect()
+    assert sorted((r["fold"], r["count"]) for r in plain) == [(k, 10) for k in range(5)]
