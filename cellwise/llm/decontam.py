@@ -136,9 +136,9 @@ def _screen(part: Part, window: int, gram: int):
                             if np.array_equal(words[p : p + n], part.words[lo : lo + n]):
                                 hits.setdefault(k, []).append((p - int(starts[k]), p - int(starts[k]) + n, item))
                 spans = [sorted({(s, e) for s, e, _ in hits.get(k, ())}) for k in range(b - a)]
-                items = [sorted({part.ids[i] for _, _, i in hits.get(k, ())}) for k in range(b - a)]
+                items = [sorted({part.ids[i] for _, _, i in hits.get(k, ())} - {None}) for k in range(b - a)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch[c].slice(a, b - a) for c in batch.schema.names if c != "text"), pa.array(counts, pa.int64()), pa.array([[list(s) for s in x] for x in spans], pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.int64()))],
+                    [*(batch[c].slice(a, b - a) for c in batch.schema.names if c != "text"), pa.array(counts, pa.int64()), pa.array([[list(s) for s in x] for x in spans], pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))],
                     [*(c for c in batch.schema.names if c != "text"), "n_words", "spans", "items"],
                 )
 
@@ -148,8 +148,8 @@ def _screen(part: Part, window: int, gram: int):
 def benchmark_parts(benchmark: DataFrame, part_words: int = PART_WORDS) -> Iterator[Part]:
     """The benchmark in parts of bounded size, read row by row."""
     ids, texts, size = [], [], 0
-    for row in benchmark.select(F.col("item_id").cast("long"), F.encode(F.col("text").cast("string"), "UTF-8")).toLocalIterator():
-        if row[0] is None or row[1] is None:
+    for row in benchmark.select(F.col("item_id").cast("string"), F.encode(F.col("text").cast("string"), "UTF-8")).toLocalIterator():
+        if row[1] is None:
             continue
         ids.append(row[0])
         texts.append(bytes(row[1]))
@@ -181,14 +181,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_
     without a shuffle. A larger one is taken part by part and the parts' spans of a document
     are merged; the parts are bounded, so no task or driver holds the whole benchmark.
 
-    Null or empty texts have no words and are clean. An empty benchmark, null items or items
-    without words hit nothing. Rows that repeat a doc_id are judged on their own (in several
+    Null or empty texts have no words and are clean. An empty benchmark, items without
+    text or words hit nothing. Ids are strings; an item with a null id hits words as others do
+    but is not named in ``items``. Rows that repeat a doc_id are judged on their own (in several
     parts: numbered by a hash of the text, equal rows kept apart by a counter).
     """
     rows = ship(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     parts = benchmark_parts(benchmark, part_words)
     first = next(parts)
-    schema = "doc_id long, n_words long, spans array<array<long>>, items array<long>"
+    schema = "doc_id long, n_words long, spans array<array<long>>, items array<string>"
     found = rows.mapInArrow(_screen(first, WINDOW, GRAM), schema)
     rest = [rows.withColumn("mark", F.xxhash64("text")).mapInArrow(_screen(p, WINDOW, GRAM), schema.replace("n_words", "mark long, n_words")) for p in parts]
     if rest:
@@ -200,7 +201,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_
             F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count(F.lit(1)) / (len(rest) + 1)).cast("int").alias("copies"),
         )
         found = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("mark", "copies", "copy")
-    hit = found.withColumn("n_hit", _covered(F.col("spans"))).withColumn("items", F.array_sort(F.transform("items", lambda i: i.cast("string"))))
+    hit = found.withColumn("n_hit", _covered(F.col("spans"))).withColumn("items", F.array_sort("items"))
     return hit.select("doc_id", "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 

@@ -74,3 +74,14 @@ def test_winnowing_guarantee():
     for k in range(len(grams) - 8):
         chosen = at[(at >= k) & (at < k + 9)]
         assert len(chosen) and grams[chosen].min() == grams[k : k + 9].min()
+
+
+@pytest.mark.parametrize("part_words", [decontam.PART_WORDS, 10])
+def test_items_without_id_and_with_names(spark, part_words):
+    rng = random.Random(5)
+    texts = [sentence(rng, 20) for _ in range(4)]
+    items = [(None, texts[0]), ("task/1", texts[1]), (None, "short words"), ("7", texts[2])]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(4, f"{texts[0]} {texts[1]}"), (5, "a few short words")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    found = {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in decontam.contamination(frame(spark, rows), bench, part_words).collect()}
+    assert found == {0: (20, [], True), 1: (20, ["task/1"], True), 2: (20, ["7"], True), 3: (0, [], False), 4: (40, ["task/1"], True), 5: (2, [], True)}
