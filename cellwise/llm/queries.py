@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellwise.llm import ann, decontam, licenses, neardup, packing, quality, sharding, suffixes, urls, warc
-from cellwise.session import table
+from cellwise.llm import ann, decontam, licenses, lines, neardup, negatives, packing, phrases, quality, sharding, suffixes, urls, warc
+from cellwise.session import scratch_path, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -166,3 +166,53 @@ def op9(spark, folder):
 )
 def op10(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query(
+    "op11_toivonen_collocations",
+    f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+  w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d),
+  g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, w[i:i + m - 1] AS words FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 4) t(m) WHERE len(w) >= m)),
+  f AS (SELECT lang, m, phrase, any_value(words) AS words, count(*) AS f FROM g GROUP BY lang, m, phrase),
+  n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+  c AS (SELECT lang, m, phrase, words, f AS a FROM f WHERE m >= 2 AND f >= 10),
+  u AS (SELECT lang || chr(10) || phrase AS part, f FROM f WHERE m <= 2 AND f >= 10),
+  y AS (SELECT lang, phrase, a, k, lang || chr(10) || array_to_string(words[1:k], ' ') AS one, lang || chr(10) || array_to_string(words[k + 1:m], ' ') AS two FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+  x AS (SELECT lang, phrase, a, l.f AS l, r.f AS r, k, CAST(1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f) AS BIGINT) AS score FROM y JOIN u l ON l.part = one JOIN u r ON r.part = two),
+  s AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+  o AS (SELECT DISTINCT s.lang, s.phrase FROM s JOIN (SELECT lang, a, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS phrase FROM c WHERE m = 3) t ON t.lang = s.lang AND t.phrase = s.phrase AND 100 * t.a >= 50 * s.a)
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM s ANTI JOIN o USING (lang, phrase) JOIN n USING (lang) QUALIFY rank <= 2000""",
+)
+def op11(spark, folder):
+    return phrases.collocations(table(spark, folder, "documents").select("text", "lang"))
+
+
+_LINE_KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op12_cuckoo_line_dedup",
+    f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+  x AS (SELECT row, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM d),
+  k AS (SELECT *, {_LINE_KEY} AS key FROM x),
+  f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT row) >= 10),
+  m AS (SELECT k.*, f.key IS NOT NULL AS gone FROM k LEFT JOIN f USING (key))
+  SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY row""",
+)
+def op12(spark, folder):
+    kept = lines.drop_frequent_lines(table(spark, folder, "documents").select("doc_id", "text"), scratch_path(spark, "line-index"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query(
+    "op13_gnat_hard_negatives",
+    """WITH u AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+       WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS anchor_id, q.label AS own, r.vec_id AS other_id, r.label AS other, CAST(list_dot_product(q.v, r.v) AS BIGINT) AS score FROM u q JOIN u r ON q.vec_id % 50 = 0 AND r.vec_id <> q.vec_id),
+  p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE own = other QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+  SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE own <> other AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3""",
+)
+def op13(spark, folder):
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END").alias("label"))
+    return negatives.hard_negatives(vectors, vectors.filter("vec_id % 50 = 0"))

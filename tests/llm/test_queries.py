@@ -32,7 +32,7 @@ def run(spark, folder, number):
 
 def test_one_query_for_each_operator():
     names = entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
     assert "pipeline" in names
     assert set(corpus.SQL) <= set(corpus.QUERIES)
 
