@@ -10,7 +10,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Interaction, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellwise.functions import measures as M
+from cellwise.operators import boosting, robust
 from cellwise.operators.ordered import quantiles, row_numbers
 from cellwise.operators.ranking import performance
 from cellwise.operators.sampling import seeded_order
@@ -104,7 +105,7 @@ def _as_text(df: DataFrame, spec: Spec, cutoff: int) -> DataFrame:
 def fit_expected(
     df: DataFrame, outcome: str, spec: Spec, cutoff: int, year: str, estimator: str = "ols"
 ) -> ExpectedModel:
-    """OLS by the normal equations (one pass) or Huber regression."""
+    """OLS by the normal equations (one pass), or Huber regression by reweighting (see ``robust``)."""
     clean = complete_cases(df, [outcome, *spec.fields])
     refuse_after(clean, year, cutoff)
     clean = _as_text(clean, spec, cutoff)
@@ -117,14 +118,14 @@ def fit_expected(
         stages.append(Interaction(inputCols=["_number", f"{group}_dummy"], outputCol="_interaction"))
         inputs.append("_interaction")
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    if estimator == "ols":
-        regression = LinearRegression(labelCol=outcome, solver="normal", regParam=0.0)
-    elif estimator == "huber":
-        regression = LinearRegression(labelCol=outcome, loss="huber", epsilon=1.345, maxIter=100)
-    else:
+    if estimator not in ("ols", "huber"):
         raise ValueError(f"Unsupported estimator {estimator}")
-    stages.append(regression.setPredictionCol("expected_rate"))
-    return ExpectedModel(spec, outcome, cutoff, Pipeline(stages=stages).fit(clean))
+    if estimator == "ols":
+        stages.append(LinearRegression(labelCol=outcome, solver="normal", regParam=0.0, predictionCol="expected_rate"))
+        return ExpectedModel(spec, outcome, cutoff, Pipeline(stages=stages).fit(clean))
+    prepared = Pipeline(stages=stages).fit(clean)
+    fitted = robust.huber(prepared.transform(clean).select("features", outcome), outcome, "expected_rate")
+    return ExpectedModel(spec, outcome, cutoff, PipelineModel([*prepared.stages, fitted]))
 
 
 def predict_expected(model: ExpectedModel, df: DataFrame, trained_on: DataFrame | None = None) -> DataFrame:
@@ -163,9 +164,13 @@ class Classifier:
     label: str
     centers: dict[str, tuple[float, float]]
     levels: dict[str, list[str]]
-    pipeline: PipelineModel
+    pipeline: PipelineModel | boosting.Boosted
     model: str
 
+    @property
+    def columns(self) -> list[str]:
+        return [f"_x{i}" for i in range(len(self.terms))]
+
     @property
     def terms(self) -> list[str]:
         return [*self.centers, *[f"{c}={level}" for c, levels in self.levels.items() for level in levels[1:]]]
@@ -197,16 +202,16 @@ def _estimator(model: str, params: Mapping[str, object], label: str, seed: int):
     if model == "random_forest":
         settings = {"numTrees": 40, "maxDepth": 6, "minInstancesPerNode": 10, **params}
         return RandomForestClassifier(labelCol=label, featuresCol="features", seed=seed, **settings)
-    if model == "boosted":
-        settings = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "minInstancesPerNode": 10, **params}
-        return GBTClassifier(labelCol=label, featuresCol="features", seed=seed, **settings)
     raise ValueError(f"Unsupported model {model}")
 
 
 def fit_classifier(
     training: DataFrame, label: str, spec: Spec, model: str = "logistic", params: Mapping[str, object] | None = None, seed: int = 20261004
 ) -> Classifier:
-    """Train-only scaling, drop-first dummies with unseen levels as zeros, a year trend."""
+    """Train-only scaling, drop-first dummies with unseen levels as zeros, a year trend.
+
+    ``params`` of a boosted model are fields of ``boosting.Settings``.
+    """
     clean = complete_cases(training, [label, *spec.fields])
     classes = clean.agg(F.min(label), F.max(label)).first()
     if classes[0] != 0 or classes[1] != 1:
@@ -216,7 +221,10 @@ def fit_classifier(
         c: [r[0] for r in clean.select(c).distinct().orderBy(c).collect()] for c in spec.categorical
     }
     fitted = Classifier(spec, label, training_scale(clean, numeric) if numeric else {}, levels, None, model)
-    assembler = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(fitted.terms))], outputCol="features")
+    if model == "boosted":
+        fitted.pipeline = boosting.fit(fitted.design(clean), fitted.columns, label, boosting.Settings(**(params or {})))
+        return fitted
+    assembler = VectorAssembler(inputCols=fitted.columns, outputCol="features")
     fitted.pipeline = Pipeline(stages=[assembler, _estimator(model, params or {}, label, seed)]).fit(fitted.design(clean))
     return fitted
 
@@ -224,6 +232,8 @@ def fit_classifier(
 def predict_probability(fitted: Classifier, df: DataFrame, name: str = "probability") -> DataFrame:
     """Positive-class probability of rows with complete features."""
     clean = complete_cases(df, list(fitted.spec.fields))
+    if isinstance(fitted.pipeline, boosting.Boosted):
+        return boosting.score(fitted.pipeline, fitted.design(clean), "_p").select(*df.columns, F.col("_p").alias(name))
     scored = fitted.pipeline.transform(fitted.design(clean))
     share = vector_to_array(F.col("probability"))[1]
     return scored.withColumn("_p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))).select(

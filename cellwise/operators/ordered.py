@@ -9,6 +9,7 @@ are frozen first, because their numbers must not change between the two passes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -129,6 +130,43 @@ def quantiles(
     return quantiles_of(_totals_over_slices(sliced, keys, order, ["n"]), keys, value, probabilities)
 
 
+def select_quantile(df: DataFrame, value: str, probability: float, most: int = 50_000) -> float | None:
+    """One exact linearly interpolated quantile without a sort: NULL values aside, None if there are none.
+
+    A mergeable sketch brackets the position; a count tells how many values lie below the
+    bracket; the next round looks only inside. At most ``most`` distinct values of the last
+    bracket reach the driver. A round shrinks the bracket by three orders of magnitude.
+    """
+    if not 0 <= probability <= 1:
+        raise ValueError("A quantile lies between 0 and 1")
+    v, accuracy = F.col(value), 10_000
+    inside = df.filter(v.isNotNull())
+    count = inside.count()
+    if not count:
+        return None
+    place = (count - 1) * probability
+    first, last, below = math.floor(place), math.ceil(place), 0
+    while count > most:
+        near = [min(1.0, max(0.0, (k - below) / count + side * 2 / accuracy)) for k, side in ((first, -1), (last, 1))]
+        low, high = inside.agg(F.percentile_approx(value, near, accuracy)).first()[0]
+        under, within = inside.agg(F.count_if(v < low), F.count_if(v.between(low, high))).first()
+        if not under <= first - below <= last - below < under + within:
+            break  # the sketch missed: the values below are read as cells
+        if low == high:
+            return float(low)
+        if within == count:
+            break
+        inside, below, count = inside.filter(v.between(low, high)), below + under, within
+    cells = inside.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    if count > most and cells.limit(most + 1).count() > most:
+        return quantiles(df, [], value, {"q": probability}).first()["q"]
+    run, found = below, {}
+    for x, n in sorted((float(r[0]), r[1]) for r in cells.collect()):
+        found.update({k: x for k in (first, last) if run <= k < run + n})
+        run += n
+    return found[first] + (place - first) * (found[last] - found[first])
+
+
 def quantiles_of(
     run: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float]
 ) -> DataFrame:

@@ -173,7 +173,7 @@ def tree_models_out_of_fold(spark, folder):
     """Forest and boosted trees beside the logistic model on the holdout."""
     rows = fold_rows(spark, folder)
     result = None
-    for model, params in (("logistic", {}), ("random_forest", {}), ("boosted", {"maxIter": 10})):
+    for model, params in (("logistic", {}), ("random_forest", {}), ("boosted", {"rounds": 10, "leaves": 15})):
         scored = H.out_of_fold(rows, ["final_holdout"], "gap_p20", SCORE, model, params)
         part = ranking.performance(scored.withColumn("model", F.lit(model)), ["model"], "gap_p20", "probability")
         result = part if result is None else result.unionByName(part)
@@ -300,7 +300,7 @@ def holdout_evaluation(spark, folder):
     spec = lagless(SCORE)
     training = H.complete_cases(candidates(development), ["gap", *spec.fields])
     logistic = H.fit_classifier(training, "gap", spec)
-    boosted = H.fit_classifier(training, "gap", spec, "boosted", {"maxIter": 10})
+    boosted = H.fit_classifier(training, "gap", spec, "boosted", {"rounds": 10, "leaves": 15})
     holdout = H.complete_cases(candidates(rows).filter(f"target_year > {B.DEV_LAST_YEAR}"), ["gap", *spec.fields])
     scored = freeze(H.predict_probability(boosted, H.predict_probability(logistic, holdout, "logistic"), "boosted"))
     long = scored.unpivot(["ind", "target_year", "gap"], ["logistic", "boosted"], "model", "score")
