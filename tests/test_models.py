@@ -29,6 +29,37 @@ def test_bootstrap_matches_brute_force(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_draws_are_addressable_and_whole():
+    every = bootstrap.draw_weights(5, 0, 300, 1000)
+    assert (every.sum(axis=1) == 1000).all() and every.min() >= 0
+    some = np.array([0, 3, 64, 500, 501, 999])
+    assert np.array_equal(bootstrap.cluster_draws(5, 1, 1000, some), every[128:256][:, some])
+    assert np.array_equal(bootstrap.draw_weights(5, 130, 133, 1000), every[130:133])
+    # as many zeros, ones and twos as draws with replacement have
+    assert np.allclose([(every == k).mean() for k in range(3)], [np.exp(-1), np.exp(-1), np.exp(-1) / 2], atol=0.01)
+    assert abs(np.corrcoef(every[:, 10], every[:, 700])[0, 1]) < 0.2
+    huge = bootstrap.cluster_draws(5, 0, 10**8, np.array([7, 10**8 - 1]))
+    assert huge.shape == (128, 2) and huge.max() < 12
+
+
+def test_a_score_of_all_clusters_spreads_over_slices(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"c": np.arange(600) % 150, "y": rng.integers(0, 2, 600), "p": np.where(np.arange(600) < 450, 0.5, np.round(rng.random(600), 1))})
+    monkeypatch.setattr(bootstrap, "BLOCK_CELLS", 128 * 7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.createDataFrame(pdf)
+    cells = df.groupBy(F.col("p").alias("score"), "c").count()
+    sliced = bootstrap.order_slices(cells, [], [F.col("score").desc(), F.col("c").asc()])
+    assert sliced.filter("score = 0.5").select(bootstrap.SLICE).distinct().count() > 2
+    got = bootstrap.replicate_precision(df, "c", "y", "p", 6, 9).toPandas().set_index("replicate").average_precision
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for r, w in enumerate(bootstrap.draw_weights(9, 0, 6, 150)):
+        w = w[pdf.c.to_numpy()]
+        y = w * pdf.y
+        ap = sum(y[pdf.p == s].sum() / y.sum() * y[pdf.p >= s].sum() / w[pdf.p >= s].sum() for s in pdf.p.unique() if w[pdf.p >= s].sum())
+        assert got[r] == pytest.approx(ap)
+
+
 def test_one_class_replicates_are_dropped(spark):
     df = spark.createDataFrame([("a", 1, 0.9), ("b", 0, 0.1)], "c string, y int, p double")
     got = bootstrap.replicate_precision(df, "c", "y", "p", 40, 1).count()
