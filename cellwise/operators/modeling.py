@@ -28,7 +28,7 @@ from cellwise.session import broadcast_checked, freeze
 def winsorize(training: DataFrame, rows: DataFrame, value: str, name: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Clip at training quantiles; NULL stays NULL. Bounds arrive as one scalar subquery."""
     if not 0 <= low < high <= 1:
-        raise ValueError("Invalid clipping quantiles")
+        raise ValueError("Clipping needs 0 <= low < high <= 1")
     cut = quantiles(training, [], value, {"lo": low, "hi": high}).select(F.struct("lo", "hi").alias("c")).scalar()
     v = F.col(value)
     return rows.withColumn(name, F.when(v.isNotNull(), F.greatest(F.least(v, cut["hi"]), cut["lo"])))
@@ -67,7 +67,7 @@ class Spec:
         numeric = tuple(c for c in self.numeric if c not in omitted)
         categorical = tuple(c for c in self.categorical if c not in omitted)
         if not numeric and not categorical:
-            raise ValueError("An ablation cannot remove every predictor")
+            raise ValueError("No predictor is left after leaving these out")
         return Spec(numeric, categorical, self.year, self.interact, f"{self.name}_without_{'_'.join(omitted)}")
 
     def replacing(self, old: str, *new: str) -> "Spec":

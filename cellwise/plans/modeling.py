@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cellwise.operators import absorb
 from cellwise.operators import calendar as cal
 from cellwise.operators import evaluation as E
 from cellwise.operators import labels, ranking, sampling
@@ -59,6 +60,37 @@ def expected_rate_category_effects(spark, folder):
     return H.predict_expected(model, rows).select(*B.KEY, F.round("expected_rate", 5).alias("expected_rate"))
 
 
+@query(
+    "expected_rate_absorbed_categories",
+    B.with_sql(B.PANEL_SQL)
+    + _FITTED
+    + """, t AS (SELECT * FROM d WHERE yr <= 2000), m AS (SELECT ind, avg(start_rate) AS ym, avg(employment_growth) AS xm FROM t GROUP BY 1),
+         b AS (SELECT sum((employment_growth - xm) * (start_rate - ym)) / sum((employment_growth - xm) ** 2) AS b FROM t JOIN m USING (ind))
+         SELECT geo, ind, yr, round(ym + b * (employment_growth - xm), 5) AS expected_rate FROM d JOIN m USING (ind), b""",
+)
+def expected_rate_absorbed_categories(spark, folder):
+    """The line inside every category, with the category effects absorbed."""
+    rows = model_rows(spark, folder).filter("start_rate IS NOT NULL")
+    model = absorb.fit(rows.filter("yr <= 2000"), OUTCOME, ["employment_growth"], ["ind"])
+    return absorb.predict(model, rows).select(*B.KEY, F.round("expected_rate", 5).alias("expected_rate"))
+
+
+@query(
+    "expected_rate_absorbed_places",
+    B.with_sql(B.PANEL_SQL)
+    + _FITTED
+    + """, t AS (SELECT * FROM d WHERE yr <= 2000), m AS (SELECT geo, avg(start_rate) AS ym, avg(employment_growth) AS xm FROM t GROUP BY 1),
+         b AS (SELECT sum((employment_growth - xm) * (start_rate - ym)) / sum((employment_growth - xm) ** 2) AS b FROM t JOIN m USING (geo))
+         SELECT geo, count(*) AS n, round(avg(start_rate - ym - b * (employment_growth - xm)), 5) AS mean_residual FROM d JOIN m USING (geo), b WHERE yr > 2000 GROUP BY 1""",
+)
+def expected_rate_absorbed_places(spark, folder):
+    """Place effects of any number of levels: the mean miss of every trained place after the cutoff."""
+    rows = model_rows(spark, folder).filter("start_rate IS NOT NULL")
+    model = absorb.fit(rows.filter("yr <= 2000"), OUTCOME, ["employment_growth"], ["geo"])
+    scored = absorb.predict(model, rows.filter("yr > 2000"))
+    return scored.groupBy("geo").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col(OUTCOME) - F.col("expected_rate")), 5).alias("mean_residual"))
+
+
 @query(
     "complete_case_sample",
     B.with_sql(B.PANEL_SQL)

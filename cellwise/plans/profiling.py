@@ -69,14 +69,14 @@ RATES = ["start_rate", "open_pct"]
       c AS (SELECT variable, count(v) AS n, count(*) FILTER (WHERE v < q1 - 1.5::DOUBLE * (q3 - q1) OR v > q3 + 1.5::DOUBLE * (q3 - q1)) AS iqr_outlier_count,
             count(*) FILTER (WHERE sd > 0 AND abs(v - mu) > 3 * sd) AS three_sd_count, count(*) FILTER (WHERE v = 0) AS zero_count, count(*) FILTER (WHERE v < 0) AS negative_count
             FROM long JOIN s USING (variable) GROUP BY 1),
-      t AS (SELECT s.*, c.* EXCLUDE (variable), concat_ws('; ', CASE WHEN abs(sk) >= 2 THEN 'highly skewed' WHEN abs(sk) >= 1 THEN 'moderately skewed' WHEN sk IS NOT NULL THEN 'roughly symmetric by skewness' END,
-            CASE WHEN ku > 3 THEN 'heavy-tailed screening signal' END, CASE WHEN zero_count::DOUBLE / n >= 0.05 THEN 'zero-concentrated' END,
-            CASE WHEN variable IN ('start_rate', 'open_pct') AND mn >= 0 AND mx <= 100 THEN 'bounded percentage/rate; observed within 0-100 review range'
-                 WHEN variable IN ('start_rate', 'open_pct') THEN 'percentage/rate; observed range requires definition review' END,
-            CASE WHEN negative_count > 0 THEN 'includes negative values; interpretation depends on measure' END) AS note FROM s JOIN c USING (variable))
+      t AS (SELECT s.*, c.* EXCLUDE (variable), concat_ws('; ', CASE WHEN abs(sk) >= 2 THEN 'strong skew' WHEN abs(sk) >= 1 THEN 'some skew' WHEN sk IS NOT NULL THEN 'little skew' END,
+            CASE WHEN ku > 3 THEN 'tails heavier than normal' END, CASE WHEN zero_count::DOUBLE / n >= 0.05 THEN 'many zeros' END,
+            CASE WHEN variable IN ('start_rate', 'open_pct') AND mn >= 0 AND mx <= 100 THEN 'rate, all values from 0 to 100'
+                 WHEN variable IN ('start_rate', 'open_pct') THEN 'rate, some values outside 0 to 100' END,
+            CASE WHEN negative_count > 0 THEN 'has negative values' END) AS note FROM s JOIN c USING (variable))
       SELECT variable, count, missing_count, round(sk, 6) AS skewness, round(ku, 6) AS excess_kurtosis, round(mn, 6) AS min, round(p01, 6) AS p01, round(p99, 6) AS p99, round(mx, 6) AS max,
         iqr_outlier_count, three_sd_count, zero_count, negative_count, CAST(0 AS BIGINT) AS nonfinite_count,
-        CASE WHEN note = '' THEN 'no prominent shape flag from these diagnostics' ELSE note END AS notes FROM t""",
+        CASE WHEN note = '' THEN 'nothing notable' ELSE note END AS notes FROM t""",
 )
 def distribution_shape(spark, folder):
     return B.rounded(profile.distribution_shape(B.panel_table(spark, folder), VARIABLES, RATES))
