@@ -16,11 +16,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (unit tests, a laptop) gets a scratch folder.
+    Only a session on one machine (unit tests, a laptop) that names none gets a scratch
+    folder; on a cluster that would be one machine's disk, so there it is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cellwise-"))
     return context.getCheckpointDir()
 
