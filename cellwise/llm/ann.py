@@ -29,6 +29,9 @@ from cellwise.llm.common import freeze, ship
 from cellwise.session import broadcast_checked
 
 
+_QUERIES_AT_ONCE = 256
+
+
 @dataclass(frozen=True)
 class Settings:
     """``sample`` vectors (least hash of vec_id) fit the rotation, ``probes`` queries the radius."""
@@ -149,6 +152,22 @@ def _best(scores: np.ndarray, ids: np.ndarray, count: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))][:count]
 
 
+def _scores(vectors: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Inner products, each summed in the same order wherever its row stands: equal rows score equal."""
+    return (vectors * vector).sum(axis=1)
+
+
+def _nearest(vectors: np.ndarray, norms: np.ndarray, ids: np.ndarray, vector: np.ndarray, rough: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the best ``count``; ``rough`` scores only choose, with a margin above their rounding."""
+    keep = np.arange(len(rough))
+    if len(rough) > count:
+        edge = np.partition(rough, len(rough) - count)[len(rough) - count]
+        keep = np.flatnonzero(~(rough < edge - 1e-9 * np.linalg.norm(vector) * norms.max()))
+    scores = _scores(vectors[keep], vector)
+    best = _best(scores, ids[keep], count)
+    return keep[best], scores[best]
+
+
 _FOUND = "query_id long, vec_id long, score double, query_code long, code long"
 
 
@@ -160,7 +179,7 @@ def _table(found: list) -> pa.Table:
 
 def _entries(query: int, ids, scores, query_code, codes, keep):
     n = len(keep)
-    return np.full(n, query, np.int64), ids[keep], scores[keep], np.full(n, query_code, np.uint64).view(np.int64), codes[keep].view(np.int64)
+    return np.full(n, query, np.int64), ids[keep], scores, np.full(n, query_code, np.uint64).view(np.int64), codes[keep].view(np.int64)
 
 
 def _exactly(queries: list[tuple[int, list[float]]], codes: Codes, count: int):
@@ -175,10 +194,14 @@ def _exactly(queries: list[tuple[int, list[float]]], codes: Codes, count: int):
             ids, vectors = batch["vec_id"].to_numpy(), _matrix(batch["embedding"])
             if not len(ids):
                 continue
-            there, scores, found = codes.of(vectors), wanted @ vectors.T, []
-            for k, (query, _) in enumerate(queries):
-                keep = _best(np.where(ids == query, -np.inf, scores[k]), ids, count)
-                found.append(_entries(query, ids, scores[k], own[k], there, keep[ids[keep] != query]))
+            there, norms, found = codes.of(vectors), np.linalg.norm(vectors, axis=1), []
+            for a in range(0, len(queries), _QUERIES_AT_ONCE):
+                rough = wanted[a : a + _QUERIES_AT_ONCE] @ vectors.T
+                for k, (query, _) in enumerate(queries[a : a + _QUERIES_AT_ONCE], a):
+                    others = np.flatnonzero(ids != query)
+                    if len(others):
+                        keep, scores = _nearest(vectors[others], norms[others], ids[others], wanted[k], rough[k - a, others], count)
+                        found.append(_entries(query, ids, scores, own[k], there, others[keep]))
             yield from _table(found).combine_chunks().to_batches()
 
     return scan
@@ -189,16 +212,16 @@ def _search(codes: Codes, parts: int, radius: int, count: int):
         if not rows.num_rows or not queries.num_rows:
             return _table([])
         ids, vectors = rows["vec_id"].to_numpy(), _matrix(rows["embedding"])
-        there = codes.of(vectors)
+        there, norms = codes.of(vectors), np.linalg.norm(vectors, axis=1)
         index = ShardIndex(there, codes.bits, parts, radius)
         wanted = _matrix(queries["embedding"])
         found = []
         for query, vector, code in zip(queries["vec_id"].to_pylist(), wanted, codes.of(wanted)):
             near = index.within(code)
             near = near[ids[near] != query]
-            scores = vectors[near] @ vector
-            keep = _best(scores, ids[near], count)
-            found.append(_entries(query, ids[near], scores, code, there[near], keep))
+            if len(near):
+                keep, scores = _nearest(vectors[near], norms[near], ids[near], vector, vectors[near] @ vector, count)
+                found.append(_entries(query, ids, scores, code, there, near[keep]))
         return _table(found)
 
     return search

@@ -43,6 +43,19 @@ def test_recall(spark, size):
     assert hits >= 0.9 * 20 * len(got)
 
 
+@pytest.mark.parametrize("cover", [0.97, 0.0])
+def test_equal_vectors_come_in_the_order_of_their_ids(spark, cover):
+    """Fifty equal rows over several shards score equal, in the index and in the exact search."""
+    values = clustered(600, 64)
+    values[100:150] = values[40]
+    ids = np.random.default_rng(3).permutation(600)
+    table = vectors(spark, values, ids)
+    asked = table.filter(f"vec_id = {ids[40]}")
+    found = ann.neighbours(table, asked, ann.Settings(shard_rows=70, sample=300, probes=8, cover=cover)).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == sorted(int(i) for i in ids[100:150])[:20]
+    assert len({r.score for r in found}) == 1
+
+
 def test_pigeonhole_finds_every_code():
     rng = np.random.default_rng(4)
     codes = rng.integers(0, 2**20, 3000).astype(np.uint64)
