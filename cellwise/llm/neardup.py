@@ -17,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cellwise.llm import text as X
 from cellwise.llm.common import freeze, ship
-from cellwise.llm.components import components, find, union
+from cellwise.llm.components import components
 from cellwise.session import broadcast_checked
 
 _UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -37,7 +38,7 @@ class Settings:
     percent: int = 85
     bands: int = 24
     rows: int = 5
-    block: int = 128  # members of a bucket compared in one block
+    hubs: int = 4  # rounds of pairing with a bucket's hub, at most
 
 
 def superminhash(elements: np.ndarray, owner: np.ndarray, owners: int, size: int) -> np.ndarray:
@@ -152,31 +153,49 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("shared") >= percent * F.col("whole")).select("a", "b")
 
 
-def _block_links(percent: int):
-    """Links between members of different components inside a block of one bucket."""
-
-    def link(key: tuple[pa.Scalar, ...], members: pa.Table) -> pa.Table:
-        first, second = key[1].as_py(), key[2].as_py()
-        ids, groups, blocks = (members[c].to_pylist() for c in ("id", "component", "member_block"))
-        lists = members["shingles"].combine_chunks()
-        values, at = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
-        sets = [values[at[k] : at[k + 1]] for k in range(len(ids))]
-        parent: dict[int, int] = {}
-        found = []
-        for i in range(len(ids)):
-            for j in range(i):
-                if first != second and blocks[i] == blocks[j]:
-                    continue
-                small, large = sorted((len(sets[i]), len(sets[j])))
-                if 100 * small < percent * large or find(parent, groups[i]) == find(parent, groups[j]):
-                    continue
-                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * shared >= percent * (small + large - shared):
-                    union(parent, groups[i], groups[j])
-                    found.append((ids[i], ids[j]))
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
-
-    return link
+def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) whose set sizes (n, other_n) alone do not rule out the similarity."""
+    return pairs.filter(f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _labelled(met: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, id, n, component) of the buckets that still hold several components, with the largest of them."""
+    rows = met.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    counts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+    several = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("members"), F.max(F.struct("k", "component")).alias("main")).filter("parts > 1")
+    return rows.join(several.select("bucket", "members", F.col("main.component").alias("main")), "bucket")
+
+
+def _hubs(rows: DataFrame) -> DataFrame:
+    """Of each bucket the member that shares most with others: (bucket, hub, hub_n, hub_component).
+
+    A text that many others were made from meets them in its largest buckets, so it has the
+    largest sum of bucket sizes; ties go to the smaller id.
+    """
+    shared = rows.groupBy("id").agg(F.sum("members").alias("shared"))
+    best = rows.join(shared, "id").groupBy("bucket").agg(F.max(F.struct("shared", F.negative("id").alias("back"), "n", "component")).alias("hub"))
+    return best.select("bucket", F.negative("hub.back").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"))
+
+
+def _rest(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components among the members of ``rows`` that can be similar enough.
+
+    The shingles of a set are put in one order, rare ones first. Sets of n and m shingles that
+    are similar enough share one among the first n - ceil(t n) + 1 of each; after the first
+    they share, enough must be left of both. Shingles that one set alone has take up places
+    there and meet nothing, so of many copies with changes of their own those that are too
+    far from each other hardly meet.
+    """
+    members = rows.select("id", "n", "component").distinct()
+    shingles = sets.join(members, "id").select("id", "n", "component", F.explode("shingles").alias("shingle"))
+    counts = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("id").orderBy("df", "shingle")
+    placed = shingles.join(counts, "shingle").withColumn("place", F.row_number().over(order))
+    first = freeze(placed.filter(f"df > 1 AND place <= n - ceil({percent} * n / 100) + 1").select("shingle", "id", "n", "component", (F.col("n") - F.col("place") + 1).alias("left")))
+    other = first.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("id", "n", "component", "left")])
+    enough = f"(100 + {percent}) * least(left, other_left) >= {percent} * (n + other_n) AND 100 * least(n, other_n) >= {percent} * greatest(n, other_n)"
+    pairs = first.join(other, (first["shingle"] == other["shingle"]) & F.expr(f"id < other_id AND component <> other_component AND {enough}"))
+    return pairs.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -186,10 +205,14 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
        doc_id stands for it (aggregated before the shuffle, so groups of copies are cheap).
     2. In each bucket of a band, every member is paired with the bucket's least id, and the
        pairs are verified on full sets. Verified links give components.
-    3. Only buckets that still hold several components are looked at again: members meet in
-       blocks of bounded size (large buckets in pairs of blocks), pairs of different
-       components are verified there, and only links that join components leave the task.
-    Skipped pairs are those already connected, so no component changes.
+    3. In buckets that still hold several components, every member is paired with the hub,
+       the member that shares most with others, if that is in another component. This is
+       repeated, each time without the hubs used so far, while it joins components.
+    4. Among the members of buckets that still hold several components, all pairs of different
+       components are verified that share a shingle where similar sets must share one.
+    Skipped pairs are connected already, were verified before, or cannot be similar enough.
+    The rows of steps 2 and 3 follow the members of buckets, those of step 4 their shingles
+    and the pairs that rare shingles bring together.
 
     Null or empty texts: no shingles, own component. Repeated rows with one doc_id are
     listed as often as they occur; a doc_id names one text. A null doc_id: component_id null, kept true. Other
@@ -209,14 +232,19 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     links = freeze(verified(pairs, sets, settings.percent))
     first = components(links)
 
-    labelled = met.join(first.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    open_buckets = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high").withColumn("blocks", F.ceil(F.col("members") / settings.block).cast("int"))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    members = labelled.join(open_buckets.select("bucket", "blocks"), "bucket").withColumn("member_block", block)
-    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("bucket", F.least("member_block", "other").alias("one"), F.greatest("member_block", "other").alias("two"), "id", "component", "member_block")
-    late = freeze(spread.join(sets, "id").groupBy("bucket", "one", "two").applyInArrow(_block_links(settings.percent), "a long, b long"))
-    every = components(links.unionByName(late)) if late.count() else first
+    every, left = first, met.filter("id <> least").select("bucket", "id", "n")
+    for _ in range(settings.hubs):
+        rows = freeze(_labelled(left, every))
+        hubs = freeze(_hubs(rows))
+        pairs = rows.join(hubs, "bucket").filter("component <> hub_component").select(F.col("hub").alias("a"), F.col("id").alias("b"), "n", F.col("hub_n").alias("other_n"))
+        fresh = freeze(verified(freeze(_fitting(pairs, settings.percent)), sets, settings.percent))
+        left = freeze(rows.join(hubs, "bucket").filter("id <> hub").select("bucket", "id", "n"))
+        if not fresh.limit(1).count():
+            break
+        every = components(every.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh))
+    last = freeze(verified(freeze(_rest(_labelled(left, every), sets, settings.percent)), sets, settings.percent))
+    if last.limit(1).count():
+        every = components(every.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last))
 
     final = every.withColumnRenamed("node", "id")
     shared = classes.filter("members > 1").select("set_digest", "id")

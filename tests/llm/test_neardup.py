@@ -42,7 +42,8 @@ def test_against_brute_force(spark):
     assert got(neardup.near_duplicates(frame(spark, rows))) == brute(rows)
 
 
-def test_large_buckets_meet_in_blocks(spark):
+@pytest.mark.parametrize("hubs", [0, 1, 8])
+def test_large_buckets(spark, hubs):
     """A chain: each text is near to the next, the ends are not near to each other."""
     words = [f"w{k}" for k in range(100)]
     rows = []
@@ -50,7 +51,21 @@ def test_large_buckets_meet_in_blocks(spark):
         words[2 * k + 1] = f"changed{k}"
         rows.append((k, " ".join(words)))
     rows += [(100 + k, " ".join(f"w{j}" for j in range(60)) + f" tail{k}" * 30) for k in range(30)]
-    assert got(neardup.near_duplicates(frame(spark, rows), neardup.Settings(block=4))) == brute(rows)
+    assert got(neardup.near_duplicates(frame(spark, rows), neardup.Settings(hubs=hubs))) == brute(rows)
+
+
+def test_star_around_a_text_that_is_not_the_least(spark):
+    """Copies of one text, each changed in another place: near to it, not to each other."""
+    words = [f"w{k}" for k in range(200)]
+    rows = [(500, " ".join(words))]
+    for k in range(60):
+        own = list(words)
+        for j in (3 * k, 3 * k + 7):
+            own[j % 200] = f"changed{k}x{j}"
+        rows.append((k, " ".join(own)))
+    found = got(neardup.near_duplicates(frame(spark, rows)))
+    assert found == brute(rows)
+    assert sum(r[3] for r in found) == 1
 
 
 def test_empty_table(spark):
