@@ -2,9 +2,10 @@
 
 Of every ``guarantee - gram + 1`` consecutive hashes of ``gram`` words the least is a
 fingerprint, so two texts that share ``guarantee`` words share a fingerprint. Fingerprints
-of documents are joined with those of the benchmark, and each meeting is extended on the
-words to the whole shared span. Items shorter than the guarantee are one window; they are
-found by the hash of all their words.
+of documents are joined with those of the benchmark, and each meeting is extended over the
+windows around it, which are compared word by word. Items shorter than the guarantee are
+one window; they are found by the hash of all their words. Words are compared as 64-bit
+hashes: two given words are taken for equal by mistake with probability 2**-64.
 """
 
 from __future__ import annotations
@@ -51,9 +52,9 @@ class Part:
     ids: list
     words: np.ndarray
     offsets: np.ndarray
-    prints: np.ndarray  # sorted fingerprints, and where each stands
-    places: np.ndarray
-    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: sorted hashes of whole items, items
+    prints: np.ndarray  # sorted distinct fingerprints
+    windows: tuple[np.ndarray, np.ndarray, np.ndarray]  # sorted hashes of whole windows, items, where each stands
+    short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # the same of items shorter than a window, by length
 
     @staticmethod
     def of(ids: list, texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> Part:
@@ -61,43 +62,51 @@ class Part:
         words, counts = X.hash_words(data, at, X.PLAIN_WORDS)
         offsets = np.append(0, np.cumsum(counts))
         grams = X.gram_hashes(words, gram)
-        places, short = [np.zeros(0, np.int64)], {}
+        whole = X.gram_hashes(words, window)
+        prints, places, of, short = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], {}
         for k, n in enumerate(counts.tolist()):
             lo = int(offsets[k])
             if n >= window:
-                places.append(lo + winnow(grams[lo : lo + n - gram + 1], window - gram + 1))
+                own = grams[lo : lo + n - gram + 1]
+                prints.append(own[winnow(own, window - gram + 1)])
+                places.append(np.arange(lo, lo + n - window + 1))
+                of.append(np.full(n - window + 1, k))
             elif n:
-                short.setdefault(n, []).append((X.gram_hashes(words[lo : lo + n], n)[0], k))
-        found = np.concatenate(places)
-        order = np.argsort(grams[found], kind="stable") if len(found) else found
-        lists = {}
-        for n, pairs in short.items():
-            pairs.sort()
-            lists[n] = (np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64))
-        return Part(ids, words, offsets, grams[found][order] if len(found) else np.zeros(0, np.uint64), found[order], lists)
-
-
-def _spans(words: np.ndarray, part: Part, window: int, gram: int, at: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(first word, last word + 1, item) of spans the document shares with items."""
-    lo = np.searchsorted(part.prints, prints, side="left")
-    hi = np.searchsorted(part.prints, prints, side="right")
-    seen: dict[tuple[int, int], int] = {}  # (item, shift) -> end of the span found last
-    for d, a, b in zip(at.tolist(), lo.tolist(), hi.tolist()):
-        for place in part.places[a:b].tolist():
-            item = int(np.searchsorted(part.offsets, place, side="right")) - 1
-            begin, end = int(part.offsets[item]), int(part.offsets[item + 1])
-            shift = d - place
-            if seen.get((item, shift), -1) > d:
-                continue
-            left = min(d, place - begin)
-            back = np.flatnonzero(words[d - left : d][::-1] != part.words[place - left : place][::-1])
-            left = int(back[0]) if len(back) else left
-            right = min(len(words) - d, end - place)
-            ahead = np.flatnonzero(words[d : d + right] != part.words[place : place + right])
-            right = int(ahead[0]) if len(ahead) else right
-            seen[item, shift] = d + right
-            if left + right >= window:
-                yield d - left, d + right, item
+                short.setdefault(n, []).append((lo, k))
+        at = np.concatenate(places)
+        tables = {n: _sorted_windows(X.gram_hashes(words, n)[[p[0] for p in pairs]], np.array([p[1] for p in pairs]), np.array([p[0] for p in pairs])) for n, pairs in short.items()}
+        return Part(ids, words, offsets, np.unique(np.concatenate(prints)), _sorted_windows(whole[at] if len(at) else np.zeros(0, np.uint64), np.concatenate(of), at), tables)
+
+
+def _sorted_windows(hashes: np.ndarray, items: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (hash, item) pairs in order, each with one of its places."""
+    order = np.lexsort((items, hashes))
+    hashes, items, places = hashes[order], items[order], places[order]
+    first = np.append(True, (hashes[1:] != hashes[:-1]) | (items[1:] != items[:-1]))[: len(hashes)]
+    return hashes[first], items[first], places[first]
+
+
+def _meet(words: np.ndarray, part: Part, size: int, table, starts: np.ndarray) -> tuple[list[list[int]], set[int]]:
+    """Merged [first word, last word + 1) spans of the ``size``-word windows at ``starts`` that items hold, and the items.
+
+    Work follows the windows, however often items and the document repeat them: each
+    distinct window is looked up and compared word by word once.
+    """
+    known, items, places = table
+    hashes = X.gram_hashes(words, size)[starts]
+    low = np.searchsorted(known, hashes)
+    same = low < len(known)
+    same[same] = known[low[same]] == hashes[same]
+    same[same] = (words[starts[same][:, None] + np.arange(size)] == part.words[places[low[same]][:, None] + np.arange(size)]).all(axis=1)
+    hit = starts[same]
+    if not len(hit):
+        return [], set()
+    begins = np.append(True, hit[1:] > hit[:-1] + size)
+    ends = np.append(hit[:-1][begins[1:]], hit[-1]) + size
+    found: set[int] = set()
+    for value in np.unique(hashes[same]):
+        found.update(items[np.searchsorted(known, value) : np.searchsorted(known, value, side="right")].tolist())
+    return np.stack([hit[begins], ends], axis=1).tolist(), found
 
 
 def _screen(part: Part, window: int, gram: int):
@@ -110,35 +119,38 @@ def _screen(part: Part, window: int, gram: int):
                 words, counts = X.hash_words(data, offsets[a : b + 1], X.PLAIN_WORDS)
                 ends = np.cumsum(counts)
                 starts = ends - counts
-                hits: dict[int, list[tuple[int, int, int]]] = {}
+                spans: list[list[list[int]]] = [[] for _ in range(b - a)]
+                items: list[set[int]] = [set() for _ in range(b - a)]
+
+                def look(k: int, size: int, table, at: np.ndarray) -> None:
+                    got, named = _meet(words[starts[k] : ends[k]], part, size, table, at)
+                    spans[k] += got
+                    items[k] |= named
+
                 if len(part.prints) and len(words) >= gram:
                     grams = X.gram_hashes(words, gram)
-                    # Grams over two rows only add fingerprints; spans are confirmed inside a row.
+                    # Grams over two rows only add fingerprints; windows are looked up inside a row.
                     at = winnow(grams, span)
                     near = np.minimum(np.searchsorted(part.prints, grams[at]), len(part.prints) - 1)
                     at = at[part.prints[near] == grams[at]]
                     row = np.searchsorted(ends, at, side="right")
                     for k in np.unique(row).tolist():
-                        lo, own = int(starts[k]), at[row == k]
-                        hits[k] = list(_spans(words[lo : int(ends[k])], part, window, gram, own - lo, grams[own]))
-                for n, (known, items) in part.short.items():
+                        own = at[row == k] - starts[k]
+                        around = np.unique(own[:, None] - np.arange(span))  # windows that hold the gram
+                        look(k, window, part.windows, around[(around >= 0) & (around <= counts[k] - window)])
+                for n, table in part.short.items():
                     if len(words) < n:
                         continue
                     grams = X.gram_hashes(words, n)
-                    near = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                    for p in np.flatnonzero(known[near] == grams).tolist():
-                        k = int(np.searchsorted(ends, p, side="right"))
-                        if p + n > ends[k]:
-                            continue
-                        for q in range(int(np.searchsorted(known, grams[p])), int(np.searchsorted(known, grams[p], side="right"))):
-                            item = int(items[q])
-                            lo = int(part.offsets[item])
-                            if np.array_equal(words[p : p + n], part.words[lo : lo + n]):
-                                hits.setdefault(k, []).append((p - int(starts[k]), p - int(starts[k]) + n, item))
-                spans = [sorted({(s, e) for s, e, _ in hits.get(k, ())}) for k in range(b - a)]
-                items = [sorted({part.ids[i] for _, _, i in hits.get(k, ())} - {None}) for k in range(b - a)]
+                    near = np.minimum(np.searchsorted(table[0], grams), len(table[0]) - 1)
+                    at = np.flatnonzero(table[0][near] == grams)
+                    row = np.searchsorted(ends, at, side="right")
+                    at, row = at[at + n <= ends[row]], row[at + n <= ends[row]]
+                    for k in np.unique(row).tolist():
+                        look(k, n, table, at[row == k] - starts[k])
+                named = [sorted({part.ids[i] for i in own} - {None}) for own in items]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch[c].slice(a, b - a) for c in batch.schema.names if c != "text"), pa.array(counts, pa.int64()), pa.array([[list(s) for s in x] for x in spans], pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))],
+                    [*(batch[c].slice(a, b - a) for c in batch.schema.names if c != "text"), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(named, pa.list_(pa.string()))],
                     [*(c for c in batch.schema.names if c != "text"), "n_words", "spans", "items"],
                 )
 

@@ -85,3 +85,15 @@ def test_items_without_id_and_with_names(spark, part_words):
     bench = spark.createDataFrame(items, "item_id string, text string")
     found = {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in decontam.contamination(frame(spark, rows), bench, part_words).collect()}
     assert found == {0: (20, [], True), 1: (20, ["task/1"], True), 2: (20, ["7"], True), 3: (0, [], False), 4: (40, ["task/1"], True), 5: (2, [], True)}
+
+
+def test_repeated_words_take_time_in_proportion(spark):
+    """Every word of document and item is the same: all positions match all positions."""
+    import time
+
+    items = spark.createDataFrame([(1, "same " * 10_000), (2, "same " * 13), (3, "same"), (4, "other " * 20)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "same " * 100_000), (2, "same " * 12 + "x"), (3, "x")], "doc_id long, text string")
+    begun = time.monotonic()
+    found = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontam.contamination(docs, items).collect()}
+    assert time.monotonic() - begun < 60
+    assert found == {1: (100_000, 100_000, ["1", "2", "3"]), 2: (13, 12, ["3"]), 3: (1, 0, [])}
