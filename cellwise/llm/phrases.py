@@ -10,6 +10,11 @@ left outside the proposals. The counts do not depend on the sample, only the wor
 Tasks know the proposals as a Bloom filter of bounded size. A phrase it lets through by
 mistake is counted in vain, which changes nothing. Which phrases a pass counts depends on
 the phrase alone, so each is counted at all its places or nowhere.
+
+The border is far larger than what is frequent. The sample and the first full pass therefore
+count 64-bit hashes, packed into arrays by hash range. Phrases that share a hash share the
+count, so no frequent phrase is lost; the next pass counts the phrases themselves, only those
+whose hash is frequent, and with them the border beyond the proposals.
 """
 
 from __future__ import annotations
@@ -49,7 +54,8 @@ class Settings:
     ``support`` occurrences on, rounded down. ``contained_percent``: a phrase goes if a
     longer candidate around it has at least this share of its occurrences. A filter has at
     most 2**``filter_bits`` bits, whatever the number of proposals. ``chunk`` bytes are
-    counted at once in a task; ``fan`` partial lists of a language are cut to ``top`` first.
+    counted at once in a task; hashes meet in one range for every ``range_bytes`` of text;
+    ``fan`` partial lists of a language are cut to ``top`` first.
     """
 
     support: int = 10
@@ -59,7 +65,8 @@ class Settings:
     sample: float = 0.25
     seed: int = 11
     filter_bits: int = 28
-    chunk: int = 4 << 20
+    chunk: int = 1 << 20
+    range_bytes: int = 8 << 20
     fan: int = 64
 
     @property
@@ -117,24 +124,32 @@ def _hashes_of(lang: pa.Array, phrase: pa.Array, levels: np.ndarray) -> np.ndarr
     return out
 
 
-def _batch_hashes(batch: pa.RecordBatch) -> np.ndarray:
-    return _hashes_of(batch["lang"], batch["phrase"], batch["words"].to_numpy().astype(np.int64))
+def _hashed(phrases: DataFrame) -> DataFrame:
+    """(hash) of (lang, words, phrase) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = _hashes_of(batch["lang"], batch["phrase"], batch["words"].to_numpy().astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["hash"])
+
+    return phrases.select("lang", "words", "phrase").mapInArrow(run, "hash long")
 
 
-def build_filter(proposals: DataFrame, most_bits: int) -> Filter:
-    """A filter of (lang, words, phrase) rows; its bits are set in tasks and merged by OR."""
-    bits = min(most_bits, max(16, math.ceil(math.log2(10 * proposals.count() + 1))))
+def build_filter(hashes: DataFrame, most_bits: int) -> Filter:
+    """A filter of (hash) rows; its bits are set in tasks and merged by OR."""
+    bits = min(most_bits, max(16, math.ceil(math.log2(10 * hashes.count() + 1))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            places = np.unique(np.concatenate(_places(_batch_hashes(batch), bits)))
+            places = np.unique(np.concatenate(_places(batch["hash"].to_numpy().view(np.uint64), bits)))
             at, first = np.unique((places >> np.uint64(6)).astype(np.int64), return_index=True)
             mask = np.bitwise_or.reduceat(np.uint64(1) << (places & np.uint64(63)), first)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mask.view(np.int64))], ["at", "mask"])
 
-    merged = proposals.select("lang", "words", "phrase").mapInArrow(place, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
+    merged = hashes.mapInArrow(place, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
     words = np.zeros(1 << max(0, bits - 6), np.uint64)
     words[merged["at"].to_numpy()] = merged["mask"].to_numpy().view(np.uint64)
     return Filter(words, bits)
@@ -164,11 +179,26 @@ def _numbered(codes: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
     return number, len(first), first
 
 
-def count_phrases(data: np.ndarray, lang: str, filters: list[Filter], longest: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(words, phrases, counts) of lower-cased bytes: what the last filter asks for and no earlier one did.
+@dataclass(frozen=True)
+class Level:
+    """The distinct phrases of one length in a chunk, and whether an earlier pass counted them."""
+
+    words: int
+    hashes: np.ndarray
+    counts: np.ndarray
+    earlier: np.ndarray
+    parts: tuple[pa.Array, np.ndarray, np.ndarray]  # distinct words, word numbers, a place of each phrase
+
+    def texts(self, some: np.ndarray) -> pa.Array:
+        known, word, place = self.parts
+        return pc.binary_join_element_wise(*[known.take(pa.array(word[place[some] + k])) for k in range(self.words)], " ")
+
 
-    No filter at all asks for every phrase. Length 0 is the number of words, as the count of
-    an empty phrase; single words belong to the first pass.
+def levels(data: np.ndarray, lang: str, filters: list[Filter], longest: int) -> Iterator[Level]:
+    """The phrases of lower-cased bytes that the last filter asks for, by length; no filter asks for all.
+
+    A filter asks for the single words, and for longer phrases if it has their first n - 1
+    and their last n - 1 words and asks for both.
     """
     kind = _KIND[data]
     inside = np.concatenate([[False], kind == 2, [False]])
@@ -179,77 +209,124 @@ def count_phrases(data: np.ndarray, lang: str, filters: list[Filter], longest: i
     offsets = np.append(0, np.cumsum(length)).astype(np.int32)
     words = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data[kind == 2])).dictionary_encode()
     word, known = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
-    piece = np.cumsum(kind == 1)[start]
+    piece = np.cumsum(kind == 1, dtype=np.int32)[start]
     joined = np.append(piece[1:] == piece[:-1], False)
 
-    once = len(filters) <= 1
-    if once:
-        yield 0, pa.array([""]), np.array([len(word)])
-        yield 1, known, np.bincount(word, minlength=len(known))
+    own = X.mix(X.hash_words(*X.utf8(known), _WORDS)[0] ^ _lang_hash(lang))
+    first = np.empty(len(known), np.int64)
+    first[word[::-1]] = np.arange(len(word) - 1, -1, -1)
+    yield Level(1, own, np.bincount(word, minlength=len(known)), np.full(len(known), len(filters) > 1), (known, word, first))
 
-    seed = _lang_hash(lang)
-    own = X.mix(X.hash_words(*X.utf8(known), _WORDS)[0] ^ seed)
     hashes = own
-    gram = word.copy()  # number of the phrase that starts here, -1: none
+    gram = word  # number of the phrase that starts here, -1: none
     counted = [np.ones(len(known), bool) for _ in filters]  # by each filter's pass
     for n in range(2, longest + 1):
-        # a phrase of n words is its first n - 1 words and its last n - 1 words
         asks = [c & f.has(hashes) for c, f in zip(counted, filters)]
         last = asks[-1] if filters else np.ones(len(hashes), bool)
         left, right = gram[:-1], gram[1:]
-        at = np.flatnonzero((left >= 0) & (right >= 0) & joined[: len(left)])
+        at = np.flatnonzero(joined[: len(left)] & (left >= 0) & (right >= 0))
         at = at[last[left[at]] & last[right[at]]]
-        code = left[at] * len(known) + word[at + n - 1]
-        number, many, first = _numbered(code)
+        number, many, first = _numbered(left[at] * len(known) + word[at + n - 1])
         place = at[first]
         counted = [a[left[place]] & a[right[place]] for a in asks]
         hashes = _extend(hashes[left[place]], own[word[place + n - 1]])
-        new = ~np.logical_or.reduce(counted[:-1]) if len(counted) > 1 else np.ones(many, bool)
-        if new.any():
-            parts = [known.take(pa.array(word[place[new] + k])) for k in range(n)]
-            yield n, pc.binary_join_element_wise(*parts, " "), np.bincount(number, minlength=many)[new]
+        earlier = np.logical_or.reduce(counted[:-1]) if len(counted) > 1 else np.zeros(many, bool)
+        yield Level(n, hashes, np.bincount(number, minlength=many), earlier, (known, word, place))
         gram = np.full(len(left), -1, np.int64)
         gram[at] = number
 
 
-def _counting(filters, longest: int, chunk: int):
-    """``filters``: a broadcast list, or None for a pass over a sample."""
+def _texts(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tuple[str, np.ndarray]]:
+    """Language and lower-cased bytes, many rows at a time; a break lies between rows."""
+    for batch in batches:
+        langs = batch["lang"].dictionary_encode()
+        codes = langs.indices.to_numpy(zero_copy_only=False)
+        for k, lang in enumerate(langs.dictionary.to_pylist()):
+            texts = batch["text"].filter(pa.array(codes == k))
+            for a, b in X.runs(X.utf8(texts)[1], chunk):
+                joined = "\n".join(texts.slice(a, b - a).to_pylist()).encode()
+                for part in _chunks(_LOWER[np.frombuffer(joined, np.uint8)], chunk):
+                    yield lang, part
+
+
+def _summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    every = np.concatenate(hashes)
+    order = np.argsort(every, kind="stable")
+    every, n = every[order], np.concatenate(counts)[order]
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+    return every[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _hashing(filters, longest: int, chunk: int, ranges: int, most: int, held: int = 2_000_000):
+    """Hash counts of a task, packed by range of the hash; counts stop at ``most``."""
+    kind = np.uint8 if most < 256 else np.int64
+
+    def pack(hashes, counts) -> Iterator[pa.RecordBatch]:
+        every, n = _summed(hashes, counts)
+        n = np.minimum(n, most).astype(kind)
+        edges = np.searchsorted(every, np.arange(1, ranges, dtype=np.uint64) << np.uint64(64 - max(1, int(ranges).bit_length() - 1))) if ranges > 1 else []
+        for r, (a, b) in enumerate(zip([0, *edges], [*edges, len(every)])):
+            if a < b:
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([every[a:b].tobytes()], pa.binary()), pa.array([n[a:b].tobytes()], pa.binary())], ["range", "hashes", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = filters.value if filters is not None else []
+        hashes, counts, size = [], [], 0
+        for lang, part in _texts(batches, chunk):
+            for level in levels(part, lang, known, longest):
+                hashes.append(level.hashes)
+                counts.append(level.counts)
+                size += len(level.hashes)
+            if size >= held:
+                yield from pack(hashes, counts)
+                hashes, counts, size = [], [], 0
+        if size:
+            yield from pack(hashes, counts)
+
+    return run
+
+
+def _frequent_hashes(rows: DataFrame, filters, settings: Settings, longest: int, least: int, ranges: int) -> DataFrame:
+    """(hash) of what is counted at least ``least`` times, checkpointed."""
+    packed = rows.mapInArrow(_hashing(filters, longest, settings.chunk, ranges, least), "range int, hashes binary, counts binary")
+    kind = np.uint8 if least < 256 else np.int64
+
+    def add(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
+        hashes = [np.frombuffer(b.as_py(), np.uint64) for b in parts["hashes"]]
+        counts = [np.frombuffer(b.as_py(), kind).astype(np.int64) for b in parts["counts"]]
+        every, n = _summed(hashes, counts)
+        return pa.table({"hash": pa.array(every[n >= least].view(np.int64))})
+
+    return freeze(packed.groupBy("range").applyInArrow(add, "hash long"))
+
+
+def _counting(filters, settled: bool, longest: int, chunk: int):
+    """Phrases with their counts: what no earlier pass counted and, where ``settled``, what the last filter has."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = filters.value if filters is not None else []
-        for batch in batches:
-            langs = batch["lang"].dictionary_encode()
-            codes = langs.indices.to_numpy(zero_copy_only=False)
-            for k, lang in enumerate(langs.dictionary.to_pylist()):
-                texts = batch["text"].filter(pa.array(codes == k))
-                for a, b in X.runs(X.utf8(texts)[1], chunk):
-                    # rows are joined by a break, which belongs to no phrase
-                    joined = "\n".join(texts.slice(a, b - a).to_pylist()).encode()
-                    for part in _chunks(_LOWER[np.frombuffer(joined, np.uint8)], chunk):
-                        for n, phrases, counts in count_phrases(part, lang, known, longest):
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([lang] * len(counts)), pa.array(np.full(len(counts), n, np.int32)), phrases, pa.array(counts, pa.int64())],
-                                ["lang", "words", "phrase", "f"],
-                            )
+        known = filters.value
 
-    return count
+        def rows(lang: str, n: int, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(counts)), pa.array(np.full(len(counts), n, np.int32)), phrases, pa.array(counts, pa.int64())], ["lang", "words", "phrase", "f"])
 
+        for lang, part in _texts(batches, chunk):
+            for level in levels(part, lang, known, longest):
+                if settled and level.words == 1:
+                    yield rows(lang, 0, pa.array([""]), np.array([level.counts.sum()]))
+                some = ~level.earlier | known[-1].has(level.hashes) if settled else ~level.earlier
+                if some.any():
+                    yield rows(lang, level.words, level.texts(np.flatnonzero(some)), level.counts[some])
 
-def _counts(rows: DataFrame, filters: list[Filter], longest: int, chunk: int) -> DataFrame:
-    """(lang, words, phrase, f) over all ``rows``, added up map-side first."""
-    held = rows.sparkSession.sparkContext.broadcast(filters) if filters else None
-    found = rows.mapInArrow(_counting(held, longest, chunk), "lang string, words int, phrase string, f long")
-    return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    return count
 
 
-def _outside(filter_: Filter, sc):
-    """Rows of phrases that are not in the filter."""
-    held = sc.broadcast(filter_)
+def _outside(filter_: Filter, context):
+    """Whether hashes are not in the filter."""
+    held = context.broadcast(filter_)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(~held.value.has(_batch_hashes(batch))))
+            yield batch.filter(pa.array(~held.value.has(batch["hash"].to_numpy().view(np.uint64))))
 
     return keep
 
@@ -264,18 +341,24 @@ def frequent_phrases(docs: DataFrame, settings: Settings = Settings()) -> DataFr
     rows = ship(docs).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), language)
     context = rows.sparkSession.sparkContext
     shorter = f"words BETWEEN 1 AND {settings.longest - 1}"
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = 1 << max(0, math.ceil(math.log2(max(1, size / settings.range_bytes))))
 
-    proposed = freeze(_counts(rows.sample(fraction=settings.sample, seed=settings.seed), [], settings.longest - 1, settings.chunk).filter(f"{shorter} AND f >= {settings.proposed_from}"))
+    sample = rows.sample(fraction=settings.sample, seed=settings.seed)
+    proposed = _frequent_hashes(sample, None, settings, settings.longest - 1, settings.proposed_from, ranges)
     filters = [build_filter(proposed, settings.filter_bits)]
+    counted = _frequent_hashes(rows, context.broadcast(filters), settings, settings.longest, settings.support, ranges)
+    filters.append(build_filter(counted, settings.filter_bits))
     found = None
     while True:
-        counted = freeze(_counts(rows, filters, settings.longest, settings.chunk).filter(f"words = 0 OR f >= {settings.support}"))
-        found = counted if found is None else found.unionByName(counted)
+        exact = rows.mapInArrow(_counting(context.broadcast(list(filters)), found is None, settings.longest, settings.chunk), "lang string, words int, phrase string, f long")
+        more = freeze(exact.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).filter(f"words = 0 OR f >= {settings.support}"))
+        found = more if found is None else found.unionByName(more)
         # a frequent phrase outside the filter: longer ones over it are not counted yet
-        missed = found.filter(shorter).select("lang", "words", "phrase").mapInArrow(_outside(filters[-1], context), "lang string, words int, phrase string")
-        if missed.limit(1).count() == 0:
+        known = _hashed(found.filter(shorter))
+        if known.mapInArrow(_outside(filters[-1], context), "hash long").limit(1).count() == 0:
             return found
-        filters.append(build_filter(found.filter(shorter), settings.filter_bits))
+        filters.append(build_filter(known, settings.filter_bits))
 
 
 # ---- scores -------------------------------------------------------------------------

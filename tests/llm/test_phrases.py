@@ -74,10 +74,18 @@ def test_scores_past_64_bits(spark):
 
 def test_passes_count_each_phrase_once():
     data = np.frombuffer(b"a b c a b c a b d\nx y", np.uint8)
-    all_ = {(n, p): int(c) for n, ps, cs in P.count_phrases(data, "en", [], 3) for p, c in zip(ps.to_pylist(), cs)}
-    assert all_[0, ""] == 11 and all_[2, "a b"] == 3 and all_[3, "a b c"] == 2 and (2, "d x") not in all_
+    seen = lambda filters: {(v.words, p): (int(c), bool(e)) for v in P.levels(data, "en", filters, 3) for p, c, e in zip(v.texts(np.arange(len(v.counts))).to_pylist(), v.counts, v.earlier)}
+    every = seen([])
+    assert every[1, "a"] == (3, False) and every[2, "a b"] == (3, False) and every[3, "a b c"] == (2, False) and (2, "d x") not in every
     nothing = P.Filter(np.zeros(1 << 10, np.uint64), 16)
     everything = P.Filter(np.full(1 << 10, 2**64 - 1, np.uint64), 16)
-    first = {(n, p) for n, ps, _ in P.count_phrases(data, "en", [nothing], 3) for p in ps.to_pylist()}
-    later = {(n, p) for n, ps, _ in P.count_phrases(data, "en", [nothing, everything], 3) for p in ps.to_pylist()}
-    assert not first & later and first | later == set(all_)
+    first, later = seen([nothing]), seen([nothing, everything])
+    assert set(first) == {k for k in every if k[0] == 1} and set(later) == set(every)
+    assert all(earlier == (k in first) for k, (_, earlier) in later.items())
+
+
+def test_hash_counts_of_ranges(spark):
+    """Whatever the number of ranges, frequent hashes are those of the phrases counted in Python."""
+    rows = spark.createDataFrame([(t or "", c or "und") for t, c in some_rows()], "text string, lang string").repartition(3)
+    found = [sorted(r.hash for r in P._frequent_hashes(rows, None, P.Settings(chunk=500), 2, 10, ranges).collect()) for ranges in (1, 2, 16)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(set(found[0])) > 50
