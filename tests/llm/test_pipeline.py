@@ -1,5 +1,4 @@
 import random
-import shutil
 from itertools import combinations
 
 import numpy as np
@@ -9,7 +8,6 @@ import corpus_pipeline
 from cellwise.llm import quality
 from helpers import awkward_documents, sentence
 from test_decontam import brute as contaminated
-from test_neardup import brute as grouped
 from test_neardup import shingles as word_shingles
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -30,6 +28,17 @@ def folder(spark, tmp_path_factory):
     return path
 
 
+def four_fifths(rows):
+    """As test_neardup.brute, with links from a similarity of 0.8 on."""
+    sets = {i: word_shingles(t) for i, t in rows}
+    label = {i: i for i in sets}
+    for a, b in combinations(sorted(sets), 2):
+        if sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((label[a], label[b]))
+            label = {i: x if c == y else c for i, c in label.items()}
+    return sorted((i, len(sets[i]), label[i], label[i] == i) for i, _ in rows)
+
+
 def test_each_stage_against_brute_force(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns, names = docs.columns, [n for n, _ in corpus_pipeline.STAGES]
@@ -50,7 +59,7 @@ def test_each_stage_against_brute_force(spark, folder):
 
     second = step(1, first)
     assert second.columns == columns
-    alone = {g[0] for g in grouped([(r.doc_id, r.text) for r in first.collect()]) if g[3]}
+    alone = {g[0] for g in four_fifths([(r.doc_id, r.text) for r in first.collect()]) if g[3]}
     assert {r.doc_id for r in second.collect()} == alone
 
     third = step(2, second)
@@ -104,19 +113,13 @@ def test_near_copies_from_four_fifths_on(spark, folder):
     assert {r.doc_id for r in left.collect()} == {0, 2, 4, 5}
 
 
-def four_fifths(rows):
-    """As test_neardup.brute, with links from a similarity of 0.8 on."""
-    sets = {i: word_shingles(t) for i, t in rows}
-    label = {i: i for i in sets}
-    for a, b in combinations(sorted(sets), 2):
-        if sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-            x, y = sorted((label[a], label[b]))
-            label = {i: x if c == y else c for i, c in label.items()}
-    return sorted((i, len(sets[i]), label[i], label[i] == i) for i, _ in rows)
-
-
-def test_each_stage_with_links_from_four_fifths_on(spark, folder, tmp_path, monkeypatch):
-    """The stages against brute force at the threshold of the stage instead of op10's."""
-    shutil.copytree(folder, tmp_path / "in", ignore=shutil.ignore_patterns("stage-*"))
-    monkeypatch.setitem(globals(), "grouped", four_fifths)
-    test_each_stage_against_brute_force(spark, str(tmp_path / "in"))
+def test_rows_without_an_id_and_equal_rows(spark, folder, tmp_path):
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    rng = random.Random(9)
+    lone, other = sentence(rng, 40), sentence(rng, 40)
+    rows = [(None, item), (None, item + " "), (7, item), (None, lone), (None, lone), (8, other), (8, other), (9, None), (9, None), (None, None), (10, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    clean = corpus_pipeline.drop_contaminated(spark, docs, folder)
+    assert sorted([tuple(r)[:2] for r in clean.collect()], key=str) == sorted([r for r in rows if not (r[1] or "").startswith(item)], key=str)
+    left = corpus_pipeline.drop_near_duplicates(spark, clean, folder)
+    assert sorted([tuple(r)[:2] for r in left.collect()], key=str) == sorted({r for r in rows if not (r[1] or "").startswith(item)}, key=str)
