@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellwise.llm import ann, decontam, licenses, lines, neardup, negatives, packing, phrases, quality, sharding, suffixes, urls, warc
-from cellwise.session import scratch_path, table
+from cellwise.session import freeze, scratch_path, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -88,7 +88,7 @@ _START = 1_704_067_200
 def list_events(spark, folder):
     """A dated list made from the hosts of the pages: additions, removals and returns."""
     pages = table(spark, folder, "pages").select(urls.host("url").alias("pattern")).filter("pattern IS NOT NULL")
-    hosts = pages.distinct()
+    hosts = freeze(pages.distinct())
     above = hosts.select(F.regexp_extract("pattern", r"([^.]+\.[^.]+)$", 1).alias("pattern")).filter("pattern <> ''").distinct()
 
     def drawn(names):

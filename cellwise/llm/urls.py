@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellwise.session import broadcast_checked
+from cellwise.session import broadcast_checked, freeze
 
 BUCKET_SECONDS = 30 * 86_400
 
@@ -55,19 +55,20 @@ def listed(captures: DataFrame, entries: DataFrame) -> DataFrame:
     The as-of join is an equality on (domain, stretch of time) with the interval test beside
     it: intervals are laid over stretches of 30 days, so the captures of a host with a third
     of the corpus spread over the stretches, and adaptive execution can split what is left.
-    The list side is broadcast when a count shows that it is small.
+    The list side is broadcast when a count shows that it is small. Distinct moments of hosts
+    and the list's intervals are written once, so the captures are read twice: for the moments
+    and for the result.
 
     Null URLs, URLs without a host and null times are never blocked. Repeated captures are
     judged alike and all returned. An empty list blocks nothing.
     """
     rows = captures.select("page_id", F.col("url").cast("string").alias("url"), F.col("fetched_at").cast("timestamp").alias("fetched_at")).withColumn("host", host("url"))
-    seen = rows.filter("host IS NOT NULL AND fetched_at IS NOT NULL").select("host", "fetched_at").distinct()
+    seen = freeze(rows.filter("host IS NOT NULL AND fetched_at IS NOT NULL").select("host", "fetched_at").distinct())
     keys = seen.withColumn("stretch", _bucket(F.col("fetched_at"))).withColumn("pattern", F.explode(domains("host")))
-    span = seen.agg(F.max(_bucket(F.col("fetched_at"))).alias("last_stretch"))
-    dated = validity(entries).join(F.broadcast(span))  # one row
-    until = F.coalesce(_bucket(F.col("valid_to")), F.col("last_stretch"))
+    last = F.lit(seen.agg(F.max(_bucket(F.col("fetched_at")))).first()[0]).cast("long")
+    until = F.coalesce(_bucket(F.col("valid_to")), last)
     intervals = (
-        dated.withColumn("first_stretch", _bucket(F.col("valid_from"))).withColumn("until", F.least(until, F.col("last_stretch")))
+        freeze(validity(entries)).withColumn("first_stretch", _bucket(F.col("valid_from"))).withColumn("until", F.least(until, last))
         .filter("first_stretch <= until").withColumn("stretch", F.explode(F.sequence("first_stretch", "until")))
         .select("pattern", "stretch", "category", "valid_from", "valid_to")
     )

@@ -72,3 +72,11 @@ def test_no_python_in_the_plan(spark):
     pages, listed = tables(spark, [(1, "http://a.com/", 3)], [("a.com", "p", "add", 1)])
     plan = urls.listed(pages, listed).select(F.col("*"))._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow", "Cartesian"))
+
+
+def test_captures_are_read_once_beside_their_moments(spark, tmp_path):
+    pages, entries = tables(spark, [(1, "http://a.b.org/", 5), (2, "http://c.org/", 6)], [("b.org", "x", "add", 1)])
+    pages.write.parquet(str(tmp_path / "pages"))
+    judged = urls.listed(spark.read.parquet(str(tmp_path / "pages")), entries)
+    assert judged._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    assert [(r.page_id, r.blocked) for r in judged.orderBy("page_id").collect()] == [(1, True), (2, False)]
