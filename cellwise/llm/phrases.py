@@ -12,9 +12,9 @@ mistake is counted in vain, which changes nothing. Which phrases a pass counts d
 the phrase alone, so each is counted at all its places or nowhere.
 
 The border is far larger than what is frequent. The sample and the first full pass therefore
-count 64-bit hashes, packed into arrays by hash range. Phrases that share a hash share the
-count, so no frequent phrase is lost; the next pass counts the phrases themselves, only those
-whose hash is frequent, and with them the border beyond the proposals.
+count the upper 48 bits of hashes, packed by hash range as differences of sorted values. Phrases
+that share a hash share the count, so no frequent phrase is lost; the next pass counts the phrases
+themselves, only those whose hash is frequent, and with them the border beyond the proposals.
 """
 
 from __future__ import annotations
@@ -43,6 +43,7 @@ _KIND[list(_BLANKS)] = 0
 _KIND[list(_BREAKS)] = 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_CUT = np.uint64(16)  # low bits of a hash that are not counted apart
 _WORDS = (np.array([int(b != 0x20) for b in range(256)], np.uint8), X.BYTE_VALUES)
 
 
@@ -79,7 +80,7 @@ class Settings:
 
 def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     mask = np.uint64((1 << bits) - 1)
-    return hashes & mask, (hashes >> np.uint64(64 - bits)) & mask
+    return (hashes >> _CUT) & mask, (hashes >> np.uint64(64 - bits)) & mask
 
 
 @dataclass(frozen=True)
@@ -257,6 +258,19 @@ def _summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
     return every[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as six planes of bytes of their differences; the upper planes are mostly zeros."""
+    steps = np.diff(hashes >> _CUT, prepend=np.uint64(0)).astype("<u8")
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(6, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :6] = planes.T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) << _CUT
+
+
 def _hashing(filters, longest: int, chunk: int, ranges: int, most: int, held: int = 2_000_000):
     """Hash counts of a task, packed by range of the hash; counts stop at ``most``."""
     kind = np.uint8 if most < 256 else np.int64
@@ -267,14 +281,14 @@ def _hashing(filters, longest: int, chunk: int, ranges: int, most: int, held: in
         edges = np.searchsorted(every, np.arange(1, ranges, dtype=np.uint64) << np.uint64(64 - max(1, int(ranges).bit_length() - 1))) if ranges > 1 else []
         for r, (a, b) in enumerate(zip([0, *edges], [*edges, len(every)])):
             if a < b:
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([every[a:b].tobytes()], pa.binary()), pa.array([n[a:b].tobytes()], pa.binary())], ["range", "hashes", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([_packed(every[a:b])], pa.binary()), pa.array([n[a:b].tobytes()], pa.binary())], ["range", "hashes", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = filters.value if filters is not None else []
         hashes, counts, size = [], [], 0
         for lang, part in _texts(batches, chunk):
             for level in levels(part, lang, known, longest):
-                hashes.append(level.hashes)
+                hashes.append(level.hashes >> _CUT << _CUT)
                 counts.append(level.counts)
                 size += len(level.hashes)
             if size >= held:
@@ -292,7 +306,7 @@ def _frequent_hashes(rows: DataFrame, filters, settings: Settings, longest: int,
     kind = np.uint8 if least < 256 else np.int64
 
     def add(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
-        hashes = [np.frombuffer(b.as_py(), np.uint64) for b in parts["hashes"]]
+        hashes = [_unpacked(b.as_py()) for b in parts["hashes"]]
         counts = [np.frombuffer(b.as_py(), kind).astype(np.int64) for b in parts["counts"]]
         every, n = _summed(hashes, counts)
         return pa.table({"hash": pa.array(every[n >= least].view(np.int64))})

@@ -89,3 +89,12 @@ def test_hash_counts_of_ranges(spark):
     rows = spark.createDataFrame([(t or "", c or "und") for t, c in some_rows()], "text string, lang string").repartition(3)
     found = [sorted(r.hash for r in P._frequent_hashes(rows, None, P.Settings(chunk=500), 2, 10, ranges).collect()) for ranges in (1, 2, 16)]
     assert found[0] == found[1] == found[2] and len(found[0]) == len(set(found[0])) > 50
+
+
+def test_packed_hashes_come_back_without_their_low_bits():
+    for n in (0, 1, 5, 100_000):
+        hashes = np.sort(np.random.default_rng(n).integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False)) if n else np.zeros(0, np.uint64)
+        cut = hashes >> np.uint64(16) << np.uint64(16)
+        assert (P._unpacked(P._packed(cut)) == cut).all()
+    whole = np.array([0, (1 << 64) - 1], np.uint64)
+    assert P._unpacked(P._packed(whole)).tolist() == [0, (1 << 64) - (1 << 16)]
