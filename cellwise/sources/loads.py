@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,14 +73,45 @@ def data_manifest(spark: SparkSession, path: str, source: str) -> DataFrame:
     )
 
 
-def file_manifest(spark: SparkSession, path: str, source: str, glob: str = "*") -> DataFrame:
-    """One row per landed file with its SHA-256; each file must fit one row (2 GB)."""
+def _streamed_digests(files: DataFrame, block: int) -> DataFrame:
+    """(path, length, sha256) of (path, length) rows; a task reads a file in blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for path in batch["path"].to_pylist():
+                if path.startswith("file:"):
+                    system, name = fs.LocalFileSystem(), path.removeprefix("file:")
+                else:
+                    system, name = fs.FileSystem.from_uri(path)
+                digest = hashlib.sha256()
+                with system.open_input_stream(name) as stream:
+                    while data := stream.read(block):
+                        digest.update(data)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch["path"], batch["length"], pa.array(digests, pa.string())], ["path", "length", "sha256"])
+
+    return files.mapInArrow(run, "path string, length long, sha256 string")
+
+
+def file_manifest(
+    spark: SparkSession, path: str, source: str, glob: str = "*", whole_bytes: int = 1 << 28, block: int = 8 << 20
+) -> DataFrame:
+    """One row per landed file with its SHA-256.
+
+    Files of up to ``whole_bytes`` are hashed as one value. Larger ones, which may not fit a
+    row, are listed without their content and read by tasks in blocks of ``block`` bytes; the
+    scan gives each a partition of its own. Files without a byte have no row: Spark's scans
+    pass over them.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(
+    small = files.filter(F.col("length") <= whole_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = _streamed_digests(files.filter(F.col("length") > whole_bytes).select("path", "length"), block)
+    return small.unionByName(large).select(
         F.lit(source).alias("source"),
         F.element_at(F.split("path", "/"), -1).alias("file_name"),
         F.col("length").alias("file_size"),
-        F.sha2("content", 256).alias("sha256"),
+        "sha256",
     )
 
 
