@@ -7,7 +7,7 @@ are parameters of the layers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellwise.functions import measures as M
@@ -30,15 +30,20 @@ def year_of(column: str):
     return F.year(column).alias("yr")
 
 
-def orders_by_cell(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders with place and category of the customer."""
+def orders_by_cell(spark: SparkSession, folder: str, *columns) -> DataFrame:
+    """Orders with place and category of the customer; ``columns`` prunes the orders before the join."""
     orders = table(spark, folder, "orders")
+    orders = orders.select("o_custkey", *columns) if columns else orders
     customer = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     return orders.join(customer, orders.o_custkey == customer.c_custkey).withColumnsRenamed(
         {"c_nationkey": "geo", "c_mktsegment": "ind"}
     )
 
 
+def is_urgent():
+    return (F.col("o_orderpriority") == "1-URGENT").alias("urgent")
+
+
 def start_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Numerator (urgent orders), backbone (all orders) and revenue per cell."""
     return (
@@ -52,6 +57,45 @@ def start_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+STATUSES = ("F", "O", "P")
+
+
+def order_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """What the start and the control layer count, per cell, in one pass over the orders.
+
+    Orders are counted per customer and year first. ``customers`` adds up over the
+    categories of a place: a customer key that occurs with two of them counts in one.
+    Sums of prices are not rounded yet.
+    """
+    counts = {
+        "starts": F.count_if("urgent"),
+        "backbone": F.count(F.lit(1)),
+        "revenue": F.sum("o_totalprice"),
+        **{f"n_{s}": F.count_if(F.col("o_orderstatus") == s) for s in STATUSES},
+    }
+    per_customer = (
+        table(spark, folder, "orders")
+        .select("o_custkey", is_urgent(), "o_orderstatus", "o_totalprice", year_of("o_orderdate"))
+        .repartition("o_custkey")
+        .groupBy("o_custkey", "yr")
+        .agg(*[c.alias(name) for name, c in counts.items()])
+    )
+    same_key = Window.partitionBy("o_custkey").orderBy("geo", "ind")
+    again = (F.row_number().over(same_key) > 1) & F.lag("geo").over(same_key).eqNullSafe(F.col("geo"))
+    customer = (
+        table(spark, folder, "customer")
+        .select(
+            F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("geo"), F.col("c_mktsegment").alias("ind")
+        )
+        .withColumn("_again", again)
+    )
+    return (
+        per_customer.join(customer, "o_custkey")
+        .groupBy(*KEY)
+        .agg(F.count_if(~F.col("_again")).alias("customers"), *[F.sum(c).alias(c) for c in counts])
+    )
+
+
 START_COUNTS_SQL = """
 start_counts AS (
   SELECT c_nationkey AS geo, c_mktsegment AS ind, CAST(year(o_orderdate) AS INT) AS yr,
@@ -62,9 +106,14 @@ start_counts AS (
 )"""
 
 
-def start_layer(spark: SparkSession, folder: str, min_orders: int = MIN_ORDERS) -> DataFrame:
-    """Start rate per cell; a small cell keeps its row but loses its measures."""
-    counts = start_counts(spark, folder)
+def start_layer(
+    spark: SparkSession, folder: str, min_orders: int = MIN_ORDERS, cells: DataFrame | None = None
+) -> DataFrame:
+    """Start rate per cell; a small cell keeps its row but loses its measures.
+
+    ``cells`` here and in the other layers: the counts, where a caller has them.
+    """
+    counts = start_counts(spark, folder) if cells is None else cells
     kept = F.col("backbone") >= min_orders
     return counts.select(
         *KEY,
@@ -75,9 +124,11 @@ def start_layer(spark: SparkSession, folder: str, min_orders: int = MIN_ORDERS)
     )
 
 
-def start_panel(spark: SparkSession, folder: str, min_orders: int = MIN_ORDERS) -> DataFrame:
+def start_panel(
+    spark: SparkSession, folder: str, min_orders: int = MIN_ORDERS, cells: DataFrame | None = None
+) -> DataFrame:
     lags = cal.lags(["start_rate"], (1, 2, 3), suppressed="is_suppressed")
-    return cal.add(start_layer(spark, folder, min_orders), PANEL, "yr", lags)
+    return cal.add(start_layer(spark, folder, min_orders, cells), PANEL, "yr", lags)
 
 
 START_LAYER_SQL = (
@@ -109,25 +160,45 @@ start_panel AS (
 
 
 def shipped_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines with the category of the customer, columns pruned before the joins."""
+    """Order lines with the category of the customer, columns pruned before the joins.
+
+    Of the moment of shipment only the year is moved. The orders of a partition, one
+    narrow row each, are hashed, so that the lines need no sort.
+    """
     lines = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"
+        "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", year_of("l_shipdate")
     )
-    buyers = orders_by_cell(spark, folder).select("o_orderkey", "geo", "ind")
-    return lines.join(buyers, lines.l_orderkey == buyers.o_orderkey)
+    buyers = orders_by_cell(spark, folder, "o_orderkey").select("o_orderkey", "geo", "ind")
+    return lines.join(buyers.hint("shuffle_hash"), lines.l_orderkey == buyers.o_orderkey)
 
 
-def activity_layer(spark: SparkSession, folder: str, min_lines: int = MIN_LINES) -> DataFrame:
-    """Levels per cell and year of shipment, cells below ``min_lines`` suppressed."""
-    cells = (
+def line_sums() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("lines"),
+        F.sum("l_quantity").alias("quantity"),
+        F.round(F.sum("l_extendedprice"), 2).alias("payroll"),
+    ]
+
+
+def line_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines summed per cell and, where ``by_member``, per supplier, category and year.
+
+    Both sums are taken in one aggregation, so the lines meet their orders once.
+    """
+    sets = [[F.col(c) for c in ("l_suppkey", "ind", "yr")], [F.col(c) for c in KEY]]
+    return (
         shipped_lines(spark, folder)
-        .groupBy("geo", "ind", year_of("l_shipdate"))
-        .agg(
-            F.count(F.lit(1)).alias("lines"),
-            F.sum("l_quantity").alias("quantity"),
-            F.round(F.sum("l_extendedprice"), 2).alias("payroll"),
-        )
+        .groupingSets(sets, "l_suppkey", *KEY)
+        .agg((F.grouping("geo") == 1).alias("by_member"), *line_sums())
     )
+
+
+def activity_layer(
+    spark: SparkSession, folder: str, min_lines: int = MIN_LINES, cells: DataFrame | None = None
+) -> DataFrame:
+    """Levels per cell and year of shipment, cells below ``min_lines`` suppressed."""
+    if cells is None:
+        cells = shipped_lines(spark, folder).groupBy(*KEY).agg(*line_sums())
     kept = F.col("lines") >= min_lines
     return cells.select(
         *KEY,
@@ -153,9 +224,11 @@ GROWTH_LAGS = {
 }
 
 
-def activity_panel(spark: SparkSession, folder: str, min_lines: int = MIN_LINES) -> DataFrame:
+def activity_panel(
+    spark: SparkSession, folder: str, min_lines: int = MIN_LINES, cells: DataFrame | None = None
+) -> DataFrame:
     """Growth from the calendar-prior year, then lags of growth, in one shuffle."""
-    levels = activity_layer(spark, folder, min_lines)
+    levels = activity_layer(spark, folder, min_lines, cells)
     grown = cal.add(levels, PANEL, "yr", cal.growths(GROWTHS, suppressed="is_suppressed"))
     lagged = {}
     for column, steps in GROWTH_LAGS.items():
@@ -231,18 +304,13 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
-def member_rows(spark: SparkSession, folder: str, min_lines: int = MIN_MEMBER_LINES) -> DataFrame:
+def member_rows(
+    spark: SparkSession, folder: str, min_lines: int = MIN_MEMBER_LINES, cells: DataFrame | None = None
+) -> DataFrame:
     """Supplier x category x year rows with their nation; thin rows are suppressed."""
     supplier = table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("place"))
-    cells = (
-        shipped_lines(spark, folder)
-        .groupBy("l_suppkey", "ind", year_of("l_shipdate"))
-        .agg(
-            F.count(F.lit(1)).alias("lines"),
-            F.sum("l_quantity").alias("quantity"),
-            F.round(F.sum("l_extendedprice"), 2).alias("pay"),
-        )
-    )
+    if cells is None:
+        cells = shipped_lines(spark, folder).groupBy("l_suppkey", "ind", "yr").agg(*line_sums())
     kept = F.col("lines") >= min_lines
     return cells.join(supplier, cells.l_suppkey == supplier.s_suppkey).select(
         F.col("place").alias("geo"),
@@ -252,7 +320,7 @@ def member_rows(spark: SparkSession, folder: str, min_lines: int = MIN_MEMBER_LI
         (~kept).alias("is_suppressed"),
         F.when(kept, F.col("lines").cast("double")).alias("establishments"),
         F.when(kept, F.col("quantity")).alias("employment"),
-        F.when(kept, F.col("pay")).alias("payroll"),
+        F.when(kept, F.col("payroll")).alias("payroll"),
     )
 
 
@@ -267,12 +335,12 @@ def expected_members(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def support_stage(spark: SparkSession, folder: str) -> DataFrame:
+def support_stage(spark: SparkSession, folder: str, cells: DataFrame | None = None) -> DataFrame:
     """Every staged group with its coverage, complete or not."""
     from cellwise.operators.rollup import coverage_rollup
 
     return coverage_rollup(
-        member_rows(spark, folder), expected_members(spark, folder), KEY, "geo", "member",
+        member_rows(spark, folder, cells=cells), expected_members(spark, folder), KEY, "geo", "member",
         MEMBER_MEASURES, "is_suppressed",
     )
 
@@ -313,22 +381,21 @@ support_stage AS (
 )"""
 
 
-def control_cells(spark: SparkSession, folder: str) -> DataFrame:
+def control_cells(spark: SparkSession, folder: str, cells: DataFrame | None = None) -> DataFrame:
     """Wide (estimate, margin) pairs per place and year; thin shares are missing."""
-    orders = orders_by_cell(spark, folder)
-    status = {s: F.count_if(F.col("o_orderstatus") == s) for s in ("F", "O", "P")}
-    cells = orders.groupBy("geo", year_of("o_orderdate")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_distinct("o_custkey").cast("double").alias("population_est"),
-        (F.round(F.sum("o_totalprice"), 2) / F.count(F.lit(1))).alias("income_est"),
-        *[c.alias(f"n_{s}") for s, c in status.items()],
+    cells = order_cells(spark, folder) if cells is None else cells
+    places = cells.groupBy("geo", "yr").agg(
+        F.sum("backbone").alias("n"),
+        F.sum("customers").cast("double").alias("population_est"),
+        (F.round(F.sum("revenue"), 2) / F.sum("backbone")).alias("income_est"),
+        *[F.sum(f"n_{s}").alias(f"n_{s}") for s in STATUSES],
     )
 
     def share(s: str):
         seen = F.col(f"n_{s}")
         return F.when(seen >= MIN_CONTROL_ORDERS, 100 * seen / F.col("n"))
 
-    wide = cells.withColumns(
+    wide = places.withColumns(
         {"finished_pct_est": share("F"), "open_pct_est": share("O"), "pending_pct_est": share("P")}
     )
     return wide.select(
@@ -339,25 +406,25 @@ def control_cells(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def control_long(spark: SparkSession, folder: str) -> DataFrame:
+def control_long(spark: SparkSession, folder: str, cells: DataFrame | None = None) -> DataFrame:
     from cellwise.sources.files import pairs_to_long
 
     return pairs_to_long(
-        control_cells(spark, folder), ["geo", "yr"], {c: (f"{c}_est", f"{c}_moe") for c in CONTROLS}
+        control_cells(spark, folder, cells), ["geo", "yr"], {c: (f"{c}_est", f"{c}_moe") for c in CONTROLS}
     )
 
 
-def control_layer(spark: SparkSession, folder: str) -> DataFrame:
+def control_layer(spark: SparkSession, folder: str, cells: DataFrame | None = None) -> DataFrame:
     from cellwise.operators.rollup import pivot_controls
 
     return pivot_controls(
-        control_long(spark, folder), ["geo", "yr"], "control_name", CONTROLS, {"estimate": "", "margin": "moe"}
+        control_long(spark, folder, cells), ["geo", "yr"], "control_name", CONTROLS, {"estimate": "", "margin": "moe"}
     )
 
 
-def control_panel(spark: SparkSession, folder: str) -> DataFrame:
+def control_panel(spark: SparkSession, folder: str, cells: DataFrame | None = None) -> DataFrame:
     """Controls with population growth and one-year lags, window by place only."""
-    layer = control_layer(spark, folder).select("geo", "yr", *CONTROLS)
+    layer = control_layer(spark, folder, cells).select("geo", "yr", *CONTROLS)
     grown = cal.add(layer, ["geo"], "yr", cal.growths({"population": "population_growth"}))
     return cal.add(grown, ["geo"], "yr", cal.lags([*CONTROLS[1:], "population_growth"], (1,)))
 
@@ -433,17 +500,30 @@ PANEL_FLAGS = [
 ]
 
 
+def written(df: DataFrame, label: str, partition: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` as a Parquet table below the shared folder, so that several readers share its work."""
+    from cellwise.session import scratch_path
+    from cellwise.sources.sinks import write_table
+
+    path = scratch_path(df.sparkSession, label)
+    write_table(df, path, partition)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def analytic_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """The layers put together; orders and lines are each counted once, for all layers."""
     from cellwise.operators.panel import integrate
 
+    orders = written(order_cells(spark, folder), "order_cells")
+    lines = written(line_cells(spark, folder), "line_cells", ("by_member",))
     return integrate(
-        core=start_panel(spark, folder).drop("backbone"),
-        growth=activity_panel(spark, folder),
+        core=start_panel(spark, folder, cells=orders).drop("backbone"),
+        growth=activity_panel(spark, folder, cells=lines.filter("NOT by_member")),
         places=geo_dim(spark, folder),
         place_type="MSA",
-        controls=control_panel(spark, folder),
+        controls=control_panel(spark, folder, cells=orders),
         control_fields=CONTROLS,
-        support=support_stage(spark, folder),
+        support=support_stage(spark, folder, cells=lines.filter("by_member")),
         support_measures=MEMBER_MEASURES,
         years=(1995, 2001),
     )
