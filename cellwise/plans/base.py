@@ -47,10 +47,10 @@ def is_urgent():
 def start_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Numerator (urgent orders), backbone (all orders) and revenue per cell."""
     return (
-        orders_by_cell(spark, folder)
-        .groupBy("geo", "ind", year_of("o_orderdate"))
+        orders_by_cell(spark, folder, is_urgent(), "o_totalprice", year_of("o_orderdate"))
+        .groupBy(*KEY)
         .agg(
-            F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("starts"),
+            F.count_if("urgent").alias("starts"),
             F.count(F.lit(1)).alias("backbone"),
             F.round(F.sum("o_totalprice"), 2).alias("revenue"),
         )

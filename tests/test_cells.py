@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cellwise.operators.rollup import coverage_rollup
 from cellwise.plans import base as B
+from cellwise.plans import profiling
 
 INDS = ["BUILDING", "MACHINERY"]
 
@@ -66,6 +67,17 @@ def test_only_the_year_of_shipment_is_moved(spark, folder):
     assert "timestamp" not in columns.values() and columns["yr"] == "int"
 
 
+def test_assertion_reads_the_lines_for_the_panel_and_for_its_own_count(spark, folder, monkeypatch):
+    opened = reads(monkeypatch)
+    found = {r.name: r for r in profiling.post_write_assertion(spark, folder).collect()}
+    assert opened.count("lineitem") == 2
+    core = B.orders_by_cell(spark, folder).select("geo", "ind", F.year("o_orderdate").alias("yr")).distinct()
+    growth = B.shipped_lines(spark, folder).select(*B.KEY).distinct()
+    want = core.join(growth, B.KEY).filter("geo < 2 AND yr BETWEEN 1995 AND 2001").count()
+    assert want > 0 and found["written_rows"].observed == found["written_rows"].expected == str(want)
+    assert {r.status for r in found.values()} == {"pass"}
+
+
 def test_shared_order_cells_give_the_same_layers(spark, folder):
     cells = B.order_cells(spark, folder)
     assert rows(B.start_layer(spark, folder, cells=cells)) == rows(B.start_layer(spark, folder))
